@@ -1,9 +1,17 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import bpe, simhash
+from . import bpe, decontaminate, licenses, linededup, mpegts, quality, simhash, tokenfile, toxicity, urlrules
 
 QUERIES = {
+    "op1_quality": quality.op1_quality,
+    "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_url_rules": urlrules.op3_url_rules,
+    "op4_token_file": tokenfile.op4_token_file,
     "op5_bpe": bpe.op5_bpe,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_line_dedup": linededup.op7_line_dedup,
+    "op8_mpegts": mpegts.op8_mpegts,
     "op9_simhash": simhash.op9_simhash,
+    "op10_licenses": licenses.op10_licenses,
 }
 SQL: dict[str, str] = {}
