@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from . import textbuf
 from .store import input_table
@@ -460,7 +461,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or default_path()
     others = [c for c in docs.columns if c.lower() not in ("text", "ids")]
-    schema = docs.select(*(docs[c] for c in others)).schema.add("ids", "array<int>")
+    schema = docs.select(*(docs[c] for c in others)).schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches):
         v = vocabulary(path)

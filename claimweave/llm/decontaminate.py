@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .store import input_table, written
+from .store import input_table, unused, written
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Most shingles of items that are sent to every task (24 bytes each); more are joined by hash.
@@ -133,12 +133,13 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFra
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text contains a test item; columns unchanged.
 
-    A row with a null doc_id goes only if its own text contains an item: such
-    rows are looked up by the hash of their text.
+    Rows are told apart by the hash of doc_id and text, so of rows that share a
+    doc_id, or have none, only those go whose own text contains an item.
     """
-    named = docs.withColumn("_at", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string"))))
-    bad = contained(named.select("_at", "text"), items, "_at").select("_at").distinct()
-    return named.join(bad, "_at", "left_anti").select(*(docs[c] for c in docs.columns))
+    at = unused(docs, "_at")
+    named = docs.withColumn(at, F.xxhash64("doc_id", "text"))
+    bad = contained(named.select(at, "text"), items, at).select(at).distinct()
+    return named.join(bad, at, "left_anti").drop(at)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -97,6 +97,8 @@ PHRASES = (
     (3, 0.9, r"licen[cs]e ", ""),
     (4, 0.8, r"", r" licen[cs]e"),
 )
+#: Names that are ordinary words too: they count only within a phrase; the others also by themselves.
+AMBIGUOUS = ("mit", "bsd", "x11", "unlicense", "gpl", "apache-2", "public-domain")
 #: Signatures that are no license's name: (label, priority, confidence, pattern, keywords).
 OTHERS = (
     ("proprietary", 5, 0.6, r"all rights reserved", "reserved"),
@@ -125,6 +127,7 @@ class Rule:
 def rules() -> tuple[Rule, ...]:
     """All rules in their order."""
     out = [Rule(label, p, c, re.compile(rf"\b{before}(?:{name}){after}\b"), frozenset(words.split())) for p, c, before, after in PHRASES for label, name, words in LICENSES]
+    out += [Rule(label, 5, 0.7, re.compile(rf"\b(?:{name})\b"), frozenset(words.split())) for label, name, words in LICENSES if label not in AMBIGUOUS]
     out += [Rule(label, p, c, re.compile(rf"\b(?:{pattern})\b"), frozenset(words.split())) for label, p, c, pattern, words in OTHERS]
     return tuple(sorted(out, key=lambda r: r.priority))
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import textbuf
 from .components import components, forest
-from .store import input_table, written
+from .store import input_table, unused, written
 
 WIDTH = 3
 SEED = 42
@@ -142,10 +142,11 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows stay, those with equal texts once.
     """
     none = F.lit(-(1 << 63)).cast("long")
+    at, text = unused(docs, "_at"), unused(docs, "_hash")
     found = near_duplicates(docs, radius).where("doc_id is null or doc_id = component_id")
-    kept = docs.withColumns({"_at": F.coalesce("doc_id", none), "_text": F.when(F.col("doc_id").isNull(), F.xxhash64("text"))})
-    kept = kept.join(found.select(F.coalesce("doc_id", none).alias("_at")).distinct(), "_at", "left_semi")
-    return kept.dropDuplicates(["_at", "_text"]).select(*(docs[c] for c in docs.columns))
+    kept = docs.withColumns({at: F.coalesce("doc_id", none), text: F.when(F.col("doc_id").isNull(), F.xxhash64("text"))})
+    kept = kept.join(found.select(F.coalesce("doc_id", none).alias(at)).distinct(), at, "left_semi")
+    return kept.dropDuplicates([at, text]).drop(at, text)
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

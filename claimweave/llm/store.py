@@ -47,3 +47,11 @@ def remove(spark: SparkSession, path: str) -> None:
 def input_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; every read goes through Spark."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have yet."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
