@@ -29,8 +29,16 @@ _OCR_WARNING = "OCR is not available: no text was extracted from the scanned PDF
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path, length, content`` of files or folders."""
-    return spark.read.format("binaryFile").load(paths).select("path", "length", "content")
+    """``path, length, content`` of files or folders; files without bytes too, which Spark's reader leaves out."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    empty = []
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        for status in where.getFileSystem(conf).listStatus(where):
+            if status.isFile() and not status.getLen():
+                empty.append((status.getPath().toString(), 0, bytearray()))
+    found = spark.read.format("binaryFile").load(list(paths)).select("path", "length", "content")
+    return found.unionByName(spark.createDataFrame(empty, "path string, length bigint, content binary")) if empty else found
 
 
 def mime_type(content: Column, extension: Column) -> Column:
