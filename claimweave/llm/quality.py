@@ -152,6 +152,7 @@ def scored(docs: DataFrame, network: Network) -> DataFrame:
             texts = textbuf.texts_of(batch.column(place))
             for i, j in textbuf.blocks(texts):
                 yield pa.RecordBatch.from_arrays([*(c[i:j] for c in batch.columns), pa.array(net.scores(texts[i:j], tables))], schema.names)
+            textbuf.give_back()
 
     return docs.select(*(docs[c] for c in others)).mapInArrow(run, schema)
 

@@ -8,6 +8,7 @@ any slice's hash is ``(C[end] - C[start]) * B**-start`` modulo 2**64, mixed.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,12 @@ import pyarrow.compute as pc
 #: Bytes of text handled at once; one longer text is still handled whole.
 BLOCK = 1 << 20
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  other systems' C libraries lack it
+except (AttributeError, OSError):
+    _LIBC = None
+
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _TABLE = np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -34,6 +41,13 @@ WORD = byte_class(lambda b: b >= 0x80 or chr(b).isalnum())
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker's peaks do not add up over batches and tasks."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def ascii_lower(a: np.ndarray) -> np.ndarray:
     return _LOWER[a]
 
