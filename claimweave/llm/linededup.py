@@ -27,11 +27,13 @@ from pyspark.sql import functions as F
 
 from . import textbuf
 from .components import components
-from .store import input_table, remove, written
+from .store import input_table, remove, unused, written
 
 SHINGLE, ROWS, BANDS, THRESHOLD = 9, 4, 9, 0.8
 #: Lines of a group that one task compares with each other.
 TILE = 1000
+#: Rows of groups that a task compares at a time, about; more than one group may be among them.
+BIN = 1500
 #: Bits of the bitmap: 16 MB, whatever the input.
 BITS = 27
 _RANDOM = np.random.default_rng(77)
@@ -85,8 +87,11 @@ class Lines:
         h, at = self.shingles()
         x = (h >> np.uint64(32)).astype(np.uint32)
         out = np.zeros((n, BANDS), np.uint64)
+        room, begin = np.empty_like(x), at[:-1]
         for i in range(ROWS * BANDS):
-            least = np.minimum.reduceat((x ^ _FLIP[i]) * _MULTIPLY[i], at[:-1])
+            np.bitwise_xor(x, _FLIP[i], out=room)
+            np.multiply(room, _MULTIPLY[i], out=room)
+            least = np.minimum.reduceat(room, begin)
             band = out[:, i // ROWS]
             band[:] = textbuf.mix(band + least + np.uint64(1 + i // ROWS))
         return out.view(np.int64)
@@ -104,6 +109,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = pa.array(lines.text + i)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(lines.text) + 1, BANDS), pa.int32()), pa.array(lines.bands().ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(lines.position), pa.array(lines.keys()), bands], ["row", "doc_id", "position", "line", "bands"])
+        textbuf.give_back()
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -143,19 +149,45 @@ def _long_hash(value: int) -> int:
     return xxhash.xxh64_intdigest((value & (1 << 64) - 1).to_bytes(8, "little"), 42)
 
 
-def _sets(texts: list[str]) -> list[frozenset]:
-    lines = Lines([t.encode() for t in texts])
-    h, at = lines.shingles()
-    values = h.tolist()
-    return [frozenset(values[a:b]) for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
-
-
 def _verified(t: pa.Table) -> pa.Table:
-    """Links within one group, or between two of its tiles: a spanning forest of the pairs that are similar."""
-    t = t.sort_by("line")
+    """Links within each group, or between two of its tiles: a spanning forest of the pairs that are similar.
+
+    The table holds many groups; all their lines become shingle sets at once.
+    """
+    t = t.sort_by([("band", "ascending"), ("x", "ascending"), ("y", "ascending"), ("line", "ascending")])
     lines, sides = t.column("line").to_pylist(), t.column("side").to_pylist()
-    sets = _sets(t.column("norm").to_pylist())
-    root = list(range(len(lines)))
+    groups = np.stack([t.column(c).to_numpy() for c in ("band", "x", "y")])
+    cuts = [0, *(np.flatnonzero((groups[:, 1:] != groups[:, :-1]).any(0)) + 1).tolist(), len(lines)]
+    h, at = Lines([x.encode() for x in t.column("norm").to_pylist()]).shingles()
+    # Distinct shingles of every line as one sorted array: the line's number, then 40 bits of the hash.
+    bits, low = np.uint64(40), np.uint64((1 << 40) - 1)
+    keys = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(at)) << bits | h >> np.uint64(24)
+    keys.sort()
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
+    row = (keys >> bits).astype(np.int64)
+    size = np.bincount(row, minlength=len(lines))
+    # Every line against the first of its group, all at once.
+    lead = np.repeat(cuts[:-1], np.diff(cuts))
+    asked = lead[row].astype(np.uint64) << bits | keys & low
+    at_ = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    shared = np.bincount(row[keys[at_] == asked], minlength=len(lines))
+    near = shared >= THRESHOLD * (size + size[lead] - shared)
+    own = np.arange(len(lines))
+    links = [(lines[a], lines[b]) for a, b in zip(lead[near & (lead != own)].tolist(), own[near & (lead != own)].tolist(), strict=True)]
+    # Groups with a line unlike the first: all their pairs.
+    first = np.concatenate(([0], np.cumsum(size)))
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi - lo > 2 and not near[lo:hi].all():
+            sets = [frozenset((keys[first[k] : first[k + 1]] & low).tolist()) for k in range(lo, hi)]
+            links += [(lines[lo + j], lines[lo + i]) for j, i in _similar(sets, sides[lo:hi])]
+    del keys, row, asked, at_
+    textbuf.give_back()
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def _similar(sets: list[frozenset], sides: list[int]) -> list[tuple[int, int]]:
+    """Similar pairs that connect all that is similar; with two sides only pairs across them are compared."""
+    root = list(range(len(sets)))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -163,10 +195,10 @@ def _verified(t: pa.Table) -> pa.Table:
             x = root[x]
         return x
 
-    links = []
+    out = []
     one = len(set(sides)) == 1
-    for i in range(len(lines)):
-        a, top = sets[i], find(i)
+    for i, a in enumerate(sets):
+        top = find(i)
         for j in range(i):
             if (one or sides[i] != sides[j]) and root[j] != top and find(j) != top:
                 b = sets[j]
@@ -174,10 +206,10 @@ def _verified(t: pa.Table) -> pa.Table:
                 if small >= THRESHOLD * large:
                     shared = len(a & b)
                     if shared >= THRESHOLD * (small + large - shared):
-                        links.append((lines[j], lines[i]))
+                        out.append((j, i))
                         root[find(i)] = find(j)
                         top = find(i)
-    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+    return out
 
 
 def _row_key() -> Column:
@@ -216,6 +248,7 @@ def _line_links(signed: DataFrame, docs: DataFrame) -> DataFrame:
                 at = np.flatnonzero(_in_bitmap(text_bits.value, keys))
                 at = at[np.sort(np.unique(keys[at], return_index=True)[1])]
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array([data[lines.begin[k] : lines.end[k]].decode("utf-8", "replace") for k in at.tolist()], pa.string())], ["line", "norm"])
+            textbuf.give_back()
 
     found = docs.select("text").mapInArrow(texts, "line long, norm string")
     known, _ = written(found.join(needed, "line", "left_semi").groupBy("line").agg(F.min("norm").alias("norm")), "norms", "zstd")
@@ -225,7 +258,9 @@ def _line_links(signed: DataFrame, docs: DataFrame) -> DataFrame:
         .select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("own").alias("side"), "line")
         .join(known, "line")
     )
-    return dealt.groupBy("band", "x", "y").applyInArrow(_verified, "a long, b long")
+    bins = 1 + wanted.count() // BIN
+    dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("band", "x", "y"), F.lit(bins)))
+    return dealt.groupBy("bin").applyInArrow(_verified, "a long, b long")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -255,14 +290,15 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     empty.  Repeated rows stay and lose the same lines.  Rows with a null doc_id
     take part.  Columns n_lines and n_dropped of ``docs`` are replaced.
     """
-    drop = repeated_lines(docs).groupBy(F.col("row").alias("_row")).agg(F.collect_set("position").alias("_drop"))
+    row, gone = unused(docs, "_row"), unused(docs, "_drop")
+    drop = repeated_lines(docs).groupBy(F.col("row").alias(row)).agg(F.collect_set("position").alias(gone))
     lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.array_contains("_drop", i.cast("long")))
-    joined = docs.withColumn("_row", _row_key()).join(drop, "_row", "left")
+    kept = F.filter(lines, lambda _, i: ~F.array_contains(gone, i.cast("long")))
+    joined = docs.withColumn(row, _row_key()).join(drop, row, "left")
     return joined.select(
-        *(F.when(F.col("_drop").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(c) if c == "text" else docs[c] for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")),
+        *(F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")),
         F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("_drop").isNull(), 0).otherwise(F.size("_drop")).cast("long").alias("n_dropped"),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"),
     )
 
 
