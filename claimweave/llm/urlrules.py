@@ -91,7 +91,7 @@ def judged(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     zero = F.lit(0).cast("long")
     paths = known.groupBy("host", "shapes").agg(F.count("*").alias("n"), F.sum(F.coalesce("labelled", zero)).alias("labelled"), F.sum(F.coalesce("good", zero)).alias("good"))
     tree = templates(paths)
-    share = tree.agg((F.try_divide(F.sum("good"), F.sum("labelled"))).alias("share"))
+    share = F.lit(tree.agg(F.try_divide(F.sum("good"), F.sum("labelled"))).first()[0]).cast("double")  # one number
     purity = tree.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("labelled").alias("l"))
     purity = purity.withColumn("purity", F.coalesce((F.col("g") + SMOOTH * share) / (F.col("l") + SMOOTH), F.lit(1.0))).select("host", "template", "purity")
     of_shape = tree.select("host", "shapes", "template").join(purity, ["host", "template"])
