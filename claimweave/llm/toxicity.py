@@ -91,30 +91,41 @@ class Model:
         y = np.array(labels, np.float64)
         weight = np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean())) ** 0.5
         weight /= weight.sum()
-        s = Sentences(texts)
-        owner = s.words.text_of()
-        seen = np.unique((s.slots * len(texts) + owner).ravel())
-        slot, doc = np.divmod(seen, len(texts))
-        has, toxic, share = np.bincount(slot, minlength=SLOTS), np.bincount(slot, y[doc], minlength=SLOTS), y.mean()
+        # Twice over the texts in blocks, so that what is held at a time does not grow with the sample.
+        has, toxic, share = np.zeros(SLOTS, np.int64), np.zeros(SLOTS), y.mean()
+        parts = list(textbuf.blocks(texts))
+        for i, j in parts:
+            s = Sentences(texts[i:j])
+            slot, doc = np.divmod(np.unique((s.slots * (j - i) + s.words.text_of()).ravel()), j - i)
+            has += np.bincount(slot, minlength=SLOTS)
+            toxic += np.bincount(slot, y[i + doc], minlength=SLOTS)
         known = toxic - has * share > DEVIATIONS * np.sqrt(np.maximum(has, 1) * share * (1 - share))
         known[0] = False
         # Weights of the known words only, in a short vector.
         number = np.cumsum(known) - 1
-        use = known[s.slots]
-        slot = number[s.slots[use]]
-        sentence = np.repeat(np.arange(len(s.begin)), np.diff(np.append(s.begin, len(owner))))
-        sentence = np.broadcast_to(sentence, s.slots.shape)[use]
+        slots, sentences, owners, count = [], [], [], 0
+        for i, j in parts:
+            s = Sentences(texts[i:j])
+            use = known[s.slots]
+            slots.append(number[s.slots[use]])
+            sentence = count + np.repeat(np.arange(len(s.begin)), np.diff(np.append(s.begin, len(s.words.starts))))
+            sentences.append(np.broadcast_to(sentence, s.slots.shape)[use])
+            owners.append(i + s.text)
+            count += len(s.begin)
+        slot, sentence, owner = np.concatenate(slots), np.concatenate(sentences), np.concatenate(owners)
+        del s, slots, sentences, owners
+        textbuf.give_back()
         n = len(texts)
         theta, bias = np.zeros(int(known.sum())), -6.0
         m = np.zeros(len(theta) + 1)
         v = np.zeros(len(theta) + 1)
         for t in range(1, EPOCHS + 1):
-            z = bias + np.bincount(sentence, theta[slot], minlength=len(s.begin))
-            total = np.bincount(s.text, _softplus(z), minlength=n)
+            z = bias + np.bincount(sentence, theta[slot], minlength=count)
+            total = np.bincount(owner, _softplus(z), minlength=n)
             none = np.exp(-total)
             # d loss / d total: for toxic documents -e^-total / (1 - e^-total), for others 1.
             slope = weight * np.where(y == 1, -none / np.maximum(1 - none, 1e-9), 1.0)
-            d = slope[s.text] / (1 + np.exp(-z))
+            d = slope[owner] / (1 + np.exp(-z))
             g = np.append(np.bincount(slot, d[sentence], minlength=len(theta)) + DECAY * theta, d.sum())
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
