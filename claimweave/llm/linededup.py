@@ -34,6 +34,8 @@ SHINGLE, ROWS, BANDS, THRESHOLD = 9, 4, 9, 0.8
 TILE = 1000
 #: Rows of groups that a task compares at a time, about; more than one group may be among them.
 BIN = 1500
+#: Marks of a line's shingles, by which dissimilar pairs are told apart before their sets are compared.
+MARKS = 4096
 #: Bits of the bitmap: 16 MB, whatever the input.
 BITS = 27
 _RANDOM = np.random.default_rng(77)
@@ -176,18 +178,30 @@ def _verified(t: pa.Table) -> pa.Table:
     links = [(lines[a], lines[b]) for a, b in zip(lead[near & (lead != own)].tolist(), own[near & (lead != own)].tolist(), strict=True)]
     # Groups with a line unlike the first: all their pairs.
     first = np.concatenate(([0], np.cumsum(size)))
+    marked = np.zeros((len(lines), MARKS), bool)
+    marked[row, (keys % np.uint64(MARKS)).astype(np.int64)] = True
+    marked = np.packbits(marked, 1)
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         if hi - lo > 2 and not near[lo:hi].all():
-            sets = [frozenset((keys[first[k] : first[k + 1]] & low).tolist()) for k in range(lo, hi)]
-            links += [(lines[lo + j], lines[lo + i]) for j, i in _similar(sets, sides[lo:hi])]
+            marks = [int.from_bytes(m, "little") for m in marked[lo:hi]]
+            shingles = [keys[a:b] for a, b in zip(first[lo:hi].tolist(), first[lo + 1 : hi + 1].tolist(), strict=True)]
+            links += [(lines[lo + j], lines[lo + i]) for j, i in _similar(shingles, low, marks, sides[lo:hi], near[lo:hi].tolist())]
     del keys, row, asked, at_
     textbuf.give_back()
     return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
 
-def _similar(sets: list[frozenset], sides: list[int]) -> list[tuple[int, int]]:
-    """Similar pairs that connect all that is similar; with two sides only pairs across them are compared."""
-    root = list(range(len(sets)))
+def _similar(shingles: list[np.ndarray], low: np.uint64, marks: list[int], sides: list[int], near: list[bool]) -> list[tuple[int, int]]:
+    """Similar pairs that, with the first line's links to those ``near`` it, connect all that is similar.
+
+    With two sides only pairs across them are compared.
+    Each mark of a line that another lacks stands for at least one shingle that the
+    other lacks too, which bounds what they share; sets are made where that leaves the
+    answer open.
+    """
+    root = [0 if x else i for i, x in enumerate(near)]
+    size = [len(x) for x in shingles]
+    sets: list[frozenset | None] = [None] * len(marks)
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -195,17 +209,22 @@ def _similar(sets: list[frozenset], sides: list[int]) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
+    def known(x: int) -> frozenset:
+        if sets[x] is None:
+            sets[x] = frozenset((shingles[x] & low).tolist())
+        return sets[x]
+
     out = []
     one = len(set(sides)) == 1
-    for i, a in enumerate(sets):
-        top = find(i)
-        for j in range(i):
+    for i, n in enumerate(size):
+        top, own = find(i), marks[i]
+        for j in range(1, i):
             if (one or sides[i] != sides[j]) and root[j] != top and find(j) != top:
-                b = sets[j]
-                small, large = sorted((len(a), len(b)))
-                if small >= THRESHOLD * large:
-                    shared = len(a & b)
-                    if shared >= THRESHOLD * (small + large - shared):
+                both = n + size[j]
+                most = min(n - (own & ~marks[j]).bit_count(), size[j] - (marks[j] & ~own).bit_count())
+                if most >= THRESHOLD * (both - most):
+                    shared = len(known(i) & known(j))
+                    if shared >= THRESHOLD * (both - shared):
                         out.append((j, i))
                         root[find(i)] = find(j)
                         top = find(i)
