@@ -9,7 +9,8 @@ exact Jaccard similarity of the shingle sets (pairs already connected need no
 comparison), links become components by distributed union-find, and of each
 component the first occurrence in the corpus stays.
 
-Only keys and signatures are shuffled.  A bitmap of constant size picks the
+Only keys and signatures are shuffled, and texts once to lose their lines.  Joins with
+a table of one row for each key are hashed, so that the large side is not sorted.  A bitmap of constant size picks the
 lines whose text is needed; an exact join follows it, so a full bitmap costs
 time but never a result.
 """
@@ -294,11 +295,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     signed, path = written(keyed.mapInArrow(_signed, f"row long, doc_id {kind}, position long, line long, bands array<long>"), "lines", "zstd")
     roots = components(_line_links(signed, docs)).select(F.col("node").alias("line"), "root")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "position")
-    placed = signed.select("line", place.alias("place")).join(roots, "line", "left").select(F.coalesce("root", "line").alias("root"), "place")
+    placed = signed.select("line", place.alias("place")).join(roots.hint("shuffle_hash"), "line", "left").select(F.coalesce("root", "line").alias("root"), "place")
     placed, _ = written(placed, "placed", "zstd")
     remove(docs.sparkSession, path)
     first = placed.groupBy("root").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("root", "first")
-    return placed.join(first, "root").where("place <> first").select("place.row", "place.position").distinct()
+    return placed.join(first.hint("shuffle_hash"), "root").where("place <> first").select("place.row", "place.position").distinct()
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -313,7 +314,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     drop = repeated_lines(docs).groupBy(F.col("row").alias(row)).agg(F.collect_set("position").alias(gone))
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda _, i: ~F.array_contains(gone, i.cast("long")))
-    joined = docs.withColumn(row, _row_key()).join(drop, row, "left")
+    joined = docs.withColumn(row, _row_key()).join(drop.hint("shuffle_hash"), row, "left")
     return joined.select(
         *(F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")),
         F.coalesce(F.when(F.col("text").isNotNull(), F.size(lines)), F.lit(0)).cast("long").alias("n_lines"),
