@@ -132,7 +132,7 @@ def read_tokens(manifest: DataFrame, folder: str, digest=None, columns: str = "i
                         start += int(cuts[-1])
 
     shards = max(1, manifest.count())
-    return starts.select("file", "start", "shard").repartition(shards, "shard").select("file", "start").mapInArrow(run, schema)
+    return starts.select("file", "start", "shard").repartitionByRange(shards, "shard").select("file", "start").mapInArrow(run, schema)
 
 
 def _crc(ids: np.ndarray) -> int:
