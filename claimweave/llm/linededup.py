@@ -1,10 +1,9 @@
 """Fuzzy line dedup by MinHash over character shingles.
 
 Lines are compared lower-cased, with runs of white space as one space.  A line's
-signature is the minimum of 36 hashes over its runs of nine characters, cut into
-nine bands of four: lines with Jaccard similarity 0.8 meet in a band with
-probability 0.991, with 0.9 in all but 2 of 10,000 cases, while unrelated lines
-meet about once in 10**7 pairs.  Every group of lines that meet is compared by
+signature is the minimum of 60 hashes over its runs of five characters, cut into
+twelve bands of five: lines with Jaccard similarity 0.8 meet in a band with
+probability 0.991, with 0.9 in all but 2 of 100,000 cases.  Every group of lines that meet is compared by
 exact Jaccard similarity of the shingle sets (pairs already connected need no
 comparison), links become components by distributed union-find, and of each
 component the first occurrence in the corpus stays.
@@ -30,7 +29,7 @@ from . import textbuf
 from .components import components
 from .store import input_table, remove, unused, written
 
-SHINGLE, ROWS, BANDS, THRESHOLD = 9, 4, 9, 0.8
+SHINGLE, ROWS, BANDS, THRESHOLD = 5, 5, 12, 0.8
 #: Lines of a group that one task compares with each other.
 TILE = 1000
 #: Rows of groups that a task compares at a time, about; more than one group may be among them.

@@ -135,6 +135,27 @@ def test_fuzzy_lines(spark, monkeypatch):
     assert got[0] == base and all(got[i] == "" for i in range(1, 31)) and all(got[i] for i in range(31, 61))
 
 
+def test_one_changed_word(spark):
+    """Lines of 60 to 120 characters, each with a copy that has one other word, against brute force over runs of five characters."""
+    r = random.Random(11)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines, copies = [], []
+    for n in range(60, 121, 2):
+        line = ""
+        while len(line) < n:
+            line += word(r.randint(3, 7)) + " "
+        words = line[:n].split()
+        k = r.randrange(1, len(words) - 1)
+        lines.append(" ".join(words))
+        copies.append(" ".join([*words[:k], word(len(words[k])), *words[k + 1 :]]))
+    d = spark.createDataFrame(list(enumerate(lines + copies)), "doc_id long, text string")
+    got = {x.doc_id for x in linededup.deduplicated(d).where("text = ''").collect()}
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines + copies]
+    n = len(lines)
+    assert got == {n + i for i in range(n) if len(sets[i] & sets[n + i]) >= 0.8 * len(sets[i] | sets[n + i])}
+    assert len(got) > 15
+
+
 def test_quality(docs, none, labels):
     good = [" ".join(random.Random(i).choice(["river", "stone", "walks", "under", "light", "green"]) for _ in range(60)).encode() for i in range(60)]
     bad = [(b"BUY!!! $$$ NOW### " * (10 + i)) for i in range(60)]
