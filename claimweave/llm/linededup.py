@@ -38,14 +38,20 @@ BIN = 1500
 MARKS = 4096
 #: Bits of the bitmap: 16 MB, whatever the input.
 BITS = 27
-_RANDOM = np.random.default_rng(77)
-_MULTIPLY = _RANDOM.integers(1 << 31, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
-_FLIP = _RANDOM.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint64).astype(np.uint32)
+
+
+def hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and masks of ``n`` MinHashes."""
+    random = np.random.default_rng(77)
+    return random.integers(1 << 31, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1), random.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
 
 
 class Lines:
     """The lines with words of a block of texts, normalised: slices of ``flat``."""
 
+    rows, n_bands, bin = ROWS, BANDS, BIN
+    multiply, flip = hash_family(ROWS * BANDS)
+
     def __init__(self, texts: list[bytes]) -> None:
         a, base = textbuf.joined(texts, b"\n")
         inside = textbuf.NON_SPACE[a]
@@ -85,27 +91,27 @@ class Lines:
         """One row of band keys for each line."""
         n = len(self.begin)
         if not n:
-            return np.zeros((0, BANDS), np.int64)
+            return np.zeros((0, self.n_bands), np.int64)
         h, at = self.shingles()
         x = (h >> np.uint64(32)).astype(np.uint32)
-        out = np.zeros((n, BANDS), np.uint64)
+        out = np.zeros((n, self.n_bands), np.uint64)
         room, begin = np.empty_like(x), at[:-1]
-        for i in range(ROWS * BANDS):
-            np.bitwise_xor(x, _FLIP[i], out=room)
-            np.multiply(room, _MULTIPLY[i], out=room)
+        for i in range(self.rows * self.n_bands):
+            np.bitwise_xor(x, self.flip[i], out=room)
+            np.multiply(room, self.multiply[i], out=room)
             least = np.minimum.reduceat(room, begin)
-            band = out[:, i // ROWS]
-            band[:] = textbuf.mix(band + least + np.uint64(1 + i // ROWS))
+            band = out[:, i // self.rows]
+            band[:] = textbuf.mix(band + least + np.uint64(1 + i // self.rows))
         return out.view(np.int64)
 
 
-def _lowered(column: pa.Array) -> list[bytes]:
+def lowered(column: pa.Array) -> list[bytes]:
     return textbuf.texts_of(pc.utf8_lower(column))
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = _lowered(batch.column(2))
+        texts = lowered(batch.column(2))
         for i, j in textbuf.blocks(texts, textbuf.BLOCK // 4):
             lines = Lines(texts[i:j])
             rows = pa.array(lines.text + i)
@@ -151,7 +157,7 @@ def _long_hash(value: int) -> int:
     return xxhash.xxh64_intdigest((value & (1 << 64) - 1).to_bytes(8, "little"), 42)
 
 
-def _verified(t: pa.Table) -> pa.Table:
+def _verified(t: pa.Table, kind: type[Lines] = Lines) -> pa.Table:
     """Links within each group, or between two of its tiles: a spanning forest of the pairs that are similar.
 
     The table holds many groups; all their lines become shingle sets at once.
@@ -160,7 +166,7 @@ def _verified(t: pa.Table) -> pa.Table:
     lines, sides = t.column("line").to_pylist(), t.column("side").to_pylist()
     groups = np.stack([t.column(c).to_numpy() for c in ("band", "x", "y")])
     cuts = [0, *(np.flatnonzero((groups[:, 1:] != groups[:, :-1]).any(0)) + 1).tolist(), len(lines)]
-    h, at = Lines([x.encode() for x in t.column("norm").to_pylist()]).shingles()
+    h, at = kind([x.encode() for x in t.column("norm").to_pylist()]).shingles()
     # Distinct shingles of every line as one sorted array: the line's number, then 40 bits of the hash.
     bits, low = np.uint64(40), np.uint64((1 << 40) - 1)
     keys = np.repeat(np.arange(len(lines), dtype=np.uint64), np.diff(at)) << bits | h >> np.uint64(24)
@@ -235,8 +241,8 @@ def _row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _line_links(signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links between keys of similar lines."""
+def similar_links(signed: DataFrame, docs: DataFrame, kind: type[Lines] = Lines) -> DataFrame:
+    """Links between keys of similar lines, or of what else ``kind`` takes from the texts of ``docs``."""
     spread = signed.select("line", F.explode("bands").alias("band"))
     met, _ = written(spread.groupBy("band").agg(F.min("line").alias("least"), F.max("line").alias("most")).where("least < most").select("band"), "met")
     bits = signed.sparkSession.sparkContext.broadcast(_bitmap(met.select(F.col("band").alias("k"))))
@@ -246,7 +252,7 @@ def _line_links(signed: DataFrame, docs: DataFrame) -> DataFrame:
             lines = batch.column(0).to_numpy()
             bands = batch.column(1).flatten().to_numpy()
             at = np.flatnonzero(_in_bitmap(bits.value, bands))
-            yield pa.RecordBatch.from_arrays([pa.array(lines[at // BANDS]), pa.array(bands[at])], ["line", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(lines[at // kind.n_bands]), pa.array(bands[at])], ["line", "band"])
 
     maybe = signed.select("line", "bands").mapInArrow(meeting, "line long, band long").distinct()
     members, _ = written(maybe.join(met, "band", "left_semi"), "members")
@@ -259,9 +265,9 @@ def _line_links(signed: DataFrame, docs: DataFrame) -> DataFrame:
 
     def texts(batches):
         for batch in batches:
-            column = _lowered(batch.column(0))
+            column = lowered(batch.column(0))
             for i, j in textbuf.blocks(column):
-                lines = Lines(column[i:j])
+                lines = kind(column[i:j])
                 keys = lines.keys()
                 data = lines.flat.tobytes()
                 at = np.flatnonzero(_in_bitmap(text_bits.value, keys))
@@ -277,9 +283,9 @@ def _line_links(signed: DataFrame, docs: DataFrame) -> DataFrame:
         .select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("own").alias("side"), "line")
         .join(known, "line")
     )
-    bins = 1 + wanted.count() // BIN
+    bins = 1 + wanted.count() // kind.bin
     dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("band", "x", "y"), F.lit(bins)))
-    return dealt.groupBy("bin").applyInArrow(_verified, "a long, b long")
+    return dealt.groupBy("bin").applyInArrow(lambda t: _verified(t, kind), "a long, b long")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -292,7 +298,7 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     keyed = docs.select(_row_key().alias("row"), "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     signed, path = written(keyed.mapInArrow(_signed, f"row long, doc_id {kind}, position long, line long, bands array<long>"), "lines", "zstd")
-    roots = components(_line_links(signed, docs)).select(F.col("node").alias("line"), "root")
+    roots = components(similar_links(signed, docs)).select(F.col("node").alias("line"), "root")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "position")
     placed = signed.select("line", place.alias("place")).join(roots.hint("shuffle_hash"), "line", "left").select(F.coalesce("root", "line").alias("root"), "place")
     placed, _ = written(placed, "placed", "zstd")

@@ -141,9 +141,14 @@ def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     stays.  Nothing says which row of a component to keep by a null doc_id: such
     rows stay, those with equal texts once.
     """
+    return firsts(docs, near_duplicates(docs, radius))
+
+
+def firsts(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``one_of_each`` keeps, by ``doc_id, component_id``."""
     none = F.lit(-(1 << 63)).cast("long")
     at, text = unused(docs, "_at"), unused(docs, "_hash")
-    found = near_duplicates(docs, radius).where("doc_id is null or doc_id = component_id")
+    found = placed.where("doc_id is null or doc_id = component_id")
     kept = docs.withColumns({at: F.coalesce("doc_id", none), text: F.when(F.col("doc_id").isNull(), F.xxhash64("text"))})
     kept = kept.join(found.select(F.coalesce("doc_id", none).alias(at)).distinct(), at, "left_semi")
     return kept.dropDuplicates([at, text]).drop(at, text)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from claimweave.llm import bpe, components, decontaminate, licenses, linededup, mpegts, quality, rangecoder, simhash, tokenfile, toxicity, urlrules
+from claimweave.llm import bpe, components, decontaminate, licenses, linededup, mpegts, neardedup, quality, rangecoder, simhash, tokenfile, toxicity, urlrules
 
 TEXT = "The quick brown fox jumps over the lazy dog near the quiet river bank today"
 ROWS = [(1, TEXT), (2, TEXT), (3, None), (4, ""), (5, "x" * 3000), (None, "under the MIT License, a b"), (7, TEXT + "\n" + TEXT.upper()), (7, "\n \n"), (8, "Été 中文 don't 🙂 <|endoftext|> end")]
@@ -99,6 +99,46 @@ def test_simhash_links_all(spark, monkeypatch):
     assert roots == want
 
 
+def test_near_copies(spark, none):
+    """Planted near copies on both sides of 0.8 against brute force over runs of five words; the stage keeps one of each group."""
+    import corpus_pipeline
+
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    texts = []
+    for n in (20, 60, 61, 120, 121, 300, 301, 302, 1000, 2000):
+        base = [r.choice(words) for _ in range(n)]
+        for k in (0, 1, 1, 2, 3, 5, 8, 13):
+            copy = list(base)
+            for at in r.sample(range(n), k):
+                copy[at] = "other" + r.choice(words)
+            texts.append(" ".join(copy))
+    texts += ["one two", "One  two", "one two three", "", " ", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    split = [tuple((x or "").lower().split()) for x in texts]
+    sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in split]
+    par = list(range(len(texts)))
+
+    def find(x):
+        while par[x] != x:
+            x = par[x]
+        return x
+
+    linked = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                linked += split[i] != split[j]
+                a, b = sorted((find(i), find(j)))
+                par[b] = a
+    assert linked > 100
+    want = {i: find(i) for i in range(len(texts))}
+    assert {x.doc_id: x.component_id for x in neardedup.near_copies(d).collect()} == want
+    kept = corpus_pipeline.one_of_near_copies(spark, d, "")
+    assert kept.columns == d.columns and sorted(x.doc_id for x in kept.collect()) == sorted(set(want.values()))
+    assert neardedup.near_copies(none).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 300), (5, 5)]
     got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
