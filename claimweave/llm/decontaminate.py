@@ -8,6 +8,10 @@ smallest hashes are kept, with k just above (1 - threshold) * u: a document that
 holds enough of the item lacks at most k - 1 of its shingles, so it holds one of
 the k.  The search therefore misses nothing; each find is then verified by the
 exact count of shared shingles, over the document's and the item's whole texts.
+
+An item of fewer than five words is one shingle, its whole sequence.  With ``short``
+it is found wherever that sequence stands, as the query and the pipeline do it;
+without, only in a document that is nothing else.
 """
 
 from __future__ import annotations
@@ -32,7 +36,8 @@ def _lowered(column: pa.Array) -> list[bytes]:
 
 def _item_shingles(batches):
     for batch in batches:
-        h, owner = textbuf.Words(_lowered(batch.column(1)), textbuf.WORD).shingles(WIDTH)
+        words = textbuf.Words(_lowered(batch.column(1)), textbuf.WORD)
+        h, owner = words.shingles(WIDTH)
         if len(h):
             order = np.lexsort((h, owner))
             h, owner = h[order], owner[order]
@@ -42,20 +47,32 @@ def _item_shingles(batches):
             upper = 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
             keep = np.floor((1 - THRESHOLD) * upper + 1e-9).astype(np.int64) + 1
             place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(h.view(np.int64)), pa.array(n[owner]), pa.array(upper[owner]), pa.array(place < keep[owner])], ["item_id", "h", "n", "upper", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(h.view(np.int64)), pa.array(n[owner]), pa.array(upper[owner]), pa.array(place < keep[owner]), pa.array(np.minimum(words.counts, WIDTH)[owner])], ["item_id", "h", "n", "upper", "sketch", "width"])
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
-    """``item_id, h, n, upper, sketch``: the distinct shingles of each item, its count, its partition, and whether the sketch has it.
+    """``item_id, h, n, upper, sketch, width``: the distinct shingles of each item, its count, its partition, whether the sketch has it, and its words.
 
     Items whose id or text is null and items without words have none.  Items
     that share an id are one item with the shingles of all.
     """
     whole = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("text"))
-    return whole.mapInArrow(_item_shingles, "item_id long, h long, n long, upper long, sketch boolean")
+    return whole.mapInArrow(_item_shingles, "item_id long, h long, n long, upper long, sketch boolean, width long")
+
 
+def _shingles(texts: list[bytes], widths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of the texts' shingles, and of their runs of ``widths`` words for shorter items."""
+    words = textbuf.Words(texts, textbuf.WORD)
+    h, owner = words.shingles(WIDTH)
+    if widths:
+        more = [(h, owner), *map(words.sequences, widths)]
+        h, owner = (np.concatenate(x) for x in zip(*more, strict=True))
+        order = np.argsort(owner, kind="stable")
+        h, owner = h[order], owner[order]
+    return h, owner
 
-def _hits_with(table: pa.Table):
+
+def _hits_with(table: pa.Table, widths: list[int]):
     """A function for mapInArrow: the items that each document contains."""
     h = table["h"].to_numpy()
     order = np.argsort(h, kind="stable")
@@ -74,7 +91,7 @@ def _hits_with(table: pa.Table):
             texts = _lowered(batch.column(1))
             for i, j in textbuf.blocks(texts):
                 docs, found, share = [], [], []
-                got, owner = textbuf.Words(texts[i:j], textbuf.WORD).shingles(WIDTH)
+                got, owner = _shingles(texts[i:j], widths)
                 got = got.view(np.int64)
                 near = np.flatnonzero(mask[got & (len(mask) - 1)])
                 near = near[np.isin(got[near], sketch)]
@@ -95,22 +112,28 @@ def _hits_with(table: pa.Table):
     return run
 
 
-def _doc_shingles(batches):
-    for batch in batches:
-        texts = _lowered(batch.column(1))
-        for i, j in textbuf.blocks(texts):
-            h, owner = textbuf.Words(texts[i:j], textbuf.WORD).shingles(WIDTH)
-            order = np.lexsort((h, owner))
-            h, owner = h[order], owner[order]
-            new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + owner[new])), pa.array(h[new].view(np.int64))], ["key", "h"])
+def _doc_shingles_with(widths: list[int]):
+    """A function for mapInArrow: the distinct shingles of each document."""
+
+    def run(batches):
+        for batch in batches:
+            texts = _lowered(batch.column(1))
+            for i, j in textbuf.blocks(texts):
+                h, owner = _shingles(texts[i:j], widths)
+                order = np.lexsort((h, owner))
+                h, owner = h[order], owner[order]
+                new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + owner[new])), pa.array(h[new].view(np.int64))], ["key", "h"])
+
+    return run
 
 
-def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", short: bool = False) -> DataFrame:
     """``key, item_id, containment`` of each document and test item that it contains.
 
     Null and empty texts contain nothing; a null key stays null; repeated rows
-    give repeated finds.  No items or no documents give an empty result.
+    give repeated finds.  No items or no documents give an empty result.  With
+    ``short``, items of fewer than five words are found within longer texts too.
     """
     shingles, _ = written(item_shingles(items), "items")
     kind = docs.schema[key].dataType.simpleString()
@@ -118,19 +141,20 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFra
     count = shingles.count()
     if not count:
         return docs.sparkSession.createDataFrame([], schema)
+    widths = sorted(r.width for r in shingles.where(F.col("width") < WIDTH).select("width").distinct().collect()) if short else []
     if count <= BROADCAST:
         table = shingles.toArrow()
-        return docs.select(docs[key].alias("doc_id"), "text").mapInArrow(_hits_with(table), schema.replace(key, "doc_id", 1)).withColumnRenamed("doc_id", key)
+        return docs.select(docs[key].alias("doc_id"), "text").mapInArrow(_hits_with(table, widths), schema.replace(key, "doc_id", 1)).withColumnRenamed("doc_id", key)
     # Beyond that: join by hash.  The sketches choose the pairs, the whole shingle sets verify them.
     rows, _ = written(docs.select(F.expr("uuid()").alias("row"), docs[key].alias("_key"), "text"), "rows")
-    mine, _ = written(rows.select("row", "text").mapInArrow(_doc_shingles, "key string, h long"), "shingles")
+    mine, _ = written(rows.select("row", "text").mapInArrow(_doc_shingles_with(widths), "key string, h long"), "shingles")
     pairs = mine.join(shingles.where("sketch").select("item_id", "h"), "h").select("key", "item_id").distinct()
     shared = pairs.join(shingles, "item_id").join(mine, ["key", "h"]).groupBy("key", "item_id", "n").agg(F.count("*").alias("shared"))
     kept = shared.where(F.col("shared") >= THRESHOLD * F.col("n") - 1e-9).withColumn("containment", F.col("shared") / F.col("n"))
     return kept.join(rows.select(F.col("row").alias("key"), "_key"), "key").select(F.col("_key").alias(key), "item_id", "containment")
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
     """``docs`` without the rows whose text contains a test item; columns unchanged.
 
     Rows are told apart by the hash of doc_id and text, so of rows that share a
@@ -138,11 +162,11 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     at = unused(docs, "_at")
     named = docs.withColumn(at, F.xxhash64("doc_id", "text"))
-    bad = contained(named.select(at, "text"), items, at).select(at).distinct()
+    bad = contained(named.select(at, "text"), items, at, short).select(at).distinct()
     return named.join(bad, at, "left_anti").drop(at)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     """The query: every find of a benchmark item in a document."""
-    found = contained(input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "benchmark"))
+    found = contained(input_table(spark, sf_dir, "documents"), input_table(spark, sf_dir, "benchmark"), short=True)
     return found.groupBy("doc_id", "item_id").agg(F.max("containment").alias("containment"))

@@ -169,3 +169,13 @@ class Words:
             order = np.argsort(own, kind="stable")
             out, own = out[order], own[order]
         return out, own
+
+    def sequences(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and text number of each run of ``width`` words, hashed as ``shingles`` hashes a text of so few words."""
+        h, owner = self.hashes(), self.text_of()
+        n = max(len(h) - width + 1, 0)
+        out = np.zeros(n, np.uint64)
+        for k in range(width):
+            out = mix((out + h[k : k + n]) * np.uint64(_ODD))
+        whole = owner[:n] == owner[width - 1 : width - 1 + n]
+        return out[whole], owner[:n][whole]

@@ -157,6 +157,19 @@ def test_decontamination(spark, docs, none, monkeypatch):
     assert decontaminate.contained(none, items).count() == 0 and decontaminate.contained(docs, items.where("false")).count() == 0
 
 
+def test_short_items(spark, monkeypatch, tmp_path):
+    rows = [(1, "code under the MIT License here and more words"), (2, "under the"), (3, "the MIT"), (4, "a mit"), (5, "under a the mit license for all"), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = spark.createDataFrame([(1, "under the mit"), (2, "license"), (3, "mit license for all"), (4, "The MIT")], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for most in (10**6, 1):
+        monkeypatch.setattr(decontaminate, "BROADCAST", most)
+        got = {(x.doc_id, x.item_id) for x in decontaminate.op2_decontamination(spark, str(tmp_path)).collect()}
+        assert got == {(1, 1), (1, 2), (1, 4), (3, 4), (5, 2), (5, 3), (5, 4)}
+    assert {x.doc_id for x in decontaminate.clean(docs, items, short=True).collect()} == {2, 4, 6}
+
+
 def test_line_dedup(docs, none):
     got = {(x.doc_id, x.text) for x in linededup.deduplicated(docs).collect()}
     assert (1, TEXT) in got and (2, "") in got and (3, None) in got and (4, "") in got and (7, "") in got and (7, "\n \n") in got and (5, "x" * 3000) in got
