@@ -47,17 +47,17 @@ def _item_shingles(batches):
             upper = 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)
             keep = np.floor((1 - THRESHOLD) * upper + 1e-9).astype(np.int64) + 1
             place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(h.view(np.int64)), pa.array(n[owner]), pa.array(upper[owner]), pa.array(place < keep[owner]), pa.array(np.minimum(words.counts, WIDTH)[owner])], ["item_id", "h", "n", "upper", "sketch", "width"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(2).take(pa.array(owner)), pa.array(h.view(np.int64)), pa.array(n[owner]), pa.array(upper[owner]), pa.array(place < keep[owner]), pa.array(np.minimum(words.counts, WIDTH)[owner])], ["item_id", "part", "h", "n", "upper", "sketch", "width"])
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
-    """``item_id, h, n, upper, sketch, width``: the distinct shingles of each item, its count, its partition, whether the sketch has it, and its words.
+    """``item_id, part, h, n, upper, sketch, width``: the distinct shingles of each item, its count, its partition, whether the sketch has it, and its words.
 
-    Items whose id or text is null and items without words have none.  Items
-    that share an id are one item with the shingles of all.
+    Items whose id or text is null and items without words have none.  Texts
+    that share an id are items of their own, told apart by ``part``, the text's hash.
     """
-    whole = items.where("item_id is not null and text is not null").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("text")), "\n").alias("text"))
-    return whole.mapInArrow(_item_shingles, "item_id long, h long, n long, upper long, sketch boolean, width long")
+    whole = items.where("item_id is not null and text is not null").select("item_id", "text", F.xxhash64("text").alias("part")).dropDuplicates(["item_id", "part"])
+    return whole.mapInArrow(_item_shingles, "item_id long, part long, h long, n long, upper long, sketch boolean, width long")
 
 
 def _shingles(texts: list[bytes], widths: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +76,9 @@ def _hits_with(table: pa.Table, widths: list[int]):
     """A function for mapInArrow: the items that each document contains."""
     h = table["h"].to_numpy()
     order = np.argsort(h, kind="stable")
-    h, item = h[order], table["item_id"].to_numpy()[order]
-    names, code = np.unique(item, return_inverse=True)
+    h = h[order]
+    parts, code = np.unique(np.stack((table["item_id"].to_numpy(), table["part"].to_numpy()))[:, order], axis=1, return_inverse=True)
+    names, code = parts[0], code.ravel()
     size = np.zeros(len(names), np.int64)
     size[code] = table["n"].to_numpy()[order]
     sketch = np.unique(h[table["sketch"].to_numpy(zero_copy_only=False)[order]])
@@ -102,10 +103,12 @@ def _hits_with(table: pa.Table, widths: list[int]):
                     at = at[keys[at] == mine]
                     spots = np.repeat(first[at], many[at]) + np.arange(many[at].sum()) - np.repeat(np.cumsum(many[at]) - many[at], many[at])
                     shared = np.bincount(code[spots], minlength=len(names))
+                    best: dict[int, float] = {}
                     for k in np.flatnonzero(shared >= THRESHOLD * size - 1e-9).tolist():
-                        docs.append(i + d)
-                        found.append(names[k])
-                        share.append(shared[k] / size[k])
+                        best[names[k]] = max(best.get(names[k], 0), shared[k] / size[k])
+                    docs += [i + d] * len(best)
+                    found += best.keys()
+                    share += best.values()
                 if docs:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(docs)), pa.array(found, pa.int64()), pa.array(share, pa.float64())], ["doc_id", "item_id", "containment"])
 
@@ -131,6 +134,8 @@ def _doc_shingles_with(widths: list[int]):
 def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", short: bool = False) -> DataFrame:
     """``key, item_id, containment`` of each document and test item that it contains.
 
+    Of texts that share an item_id, the one that is contained most counts.
+
     Null and empty texts contain nothing; a null key stays null; repeated rows
     give repeated finds.  No items or no documents give an empty result.  With
     ``short``, items of fewer than five words are found within longer texts too.
@@ -148,9 +153,9 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", short: boo
     # Beyond that: join by hash.  The sketches choose the pairs, the whole shingle sets verify them.
     rows, _ = written(docs.select(F.expr("uuid()").alias("row"), docs[key].alias("_key"), "text"), "rows")
     mine, _ = written(rows.select("row", "text").mapInArrow(_doc_shingles_with(widths), "key string, h long"), "shingles")
-    pairs = mine.join(shingles.where("sketch").select("item_id", "h"), "h").select("key", "item_id").distinct()
-    shared = pairs.join(shingles, "item_id").join(mine, ["key", "h"]).groupBy("key", "item_id", "n").agg(F.count("*").alias("shared"))
-    kept = shared.where(F.col("shared") >= THRESHOLD * F.col("n") - 1e-9).withColumn("containment", F.col("shared") / F.col("n"))
+    pairs = mine.join(shingles.where("sketch").select("item_id", "part", "h"), "h").select("key", "item_id", "part").distinct()
+    shared = pairs.join(shingles, ["item_id", "part"]).join(mine, ["key", "h"]).groupBy("key", "item_id", "part", "n").agg(F.count("*").alias("shared"))
+    kept = shared.where(F.col("shared") >= THRESHOLD * F.col("n") - 1e-9).groupBy("key", "item_id").agg(F.max(F.col("shared") / F.col("n")).alias("containment"))
     return kept.join(rows.select(F.col("row").alias("key"), "_key"), "key").select(F.col("_key").alias(key), "item_id", "containment")
 
 

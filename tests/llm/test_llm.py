@@ -170,6 +170,18 @@ def test_short_items(spark, monkeypatch, tmp_path):
     assert {x.doc_id for x in decontaminate.clean(docs, items, short=True).collect()} == {2, 4, 6}
 
 
+def test_items_of_one_id(spark, monkeypatch):
+    r = random.Random(8)
+    a, b = (" ".join(f"{k}{r.randrange(10**6)}" for _ in range(20)) for k in "ab")
+    items = spark.createDataFrame([(1, a), (1, b), (1, a), (2, a + " " + b)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x y {a} z"), (2, f"{b}"), (3, a[:60]), (4, f"{a} {b}")], "doc_id long, text string")
+    for most in (10**6, 1):
+        monkeypatch.setattr(decontaminate, "BROADCAST", most)
+        got = sorted((x.doc_id, x.item_id, x.containment) for x in decontaminate.contained(docs, items).collect())
+        assert got == [(1, 1, 1.0), (2, 1, 1.0), (4, 1, 1.0), (4, 2, 1.0)]
+    assert [x.doc_id for x in decontaminate.clean(docs, items).collect()] == [3]
+
+
 def test_line_dedup(docs, none):
     got = {(x.doc_id, x.text) for x in linededup.deduplicated(docs).collect()}
     assert (1, TEXT) in got and (2, "") in got and (3, None) in got and (4, "") in got and (7, "") in got and (7, "\n \n") in got and (5, "x" * 3000) in got
