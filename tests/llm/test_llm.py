@@ -282,6 +282,22 @@ def test_licenses(docs, none):
     assert got[8].n_words == len(words)
 
 
+def test_license_bodies(spark):
+    """Bodies that do not name their license."""
+    texts = {
+        "zlib": "The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+        "boost": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\")",
+        "apache-2": "Software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
+        "gpl-3": "if you distribute copies of such a program, whether gratis or for a fee, you must pass on to the recipients the same freedoms that you received.",
+        "bsd-3-clause": "Neither the name of the copyright holder nor the names of its\n * contributors may be used to endorse or promote products derived from this software",
+        "agpl-3": "your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction)",
+        "sil-ofl": "Neither the Font Software nor any of its individual components, in Original or Modified Versions, may be sold by itself.",
+    }
+    d = spark.createDataFrame(list(enumerate([*texts.values(), "the origin of this software is a river, and you may use the material"])), "doc_id long, text string")
+    got = {x.doc_id: {y.label for y in x.detections} for x in licenses.scanned(d).collect()}
+    assert all(label in got[i] for i, label in enumerate(texts)) and not got[len(texts)]
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
