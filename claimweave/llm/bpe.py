@@ -32,6 +32,8 @@ from .store import input_table
 LEAF, SHORT = 4096, 24
 #: Characters of text encoded at once.
 BLOCK = 2 << 20
+#: Pieces of up to SHORT bytes whose ids a vocabulary remembers from block to block.
+KNOWN = 1 << 18
 _NONE = np.int32(2**31 - 1)
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN, EDGE = range(6)
 #: The code points of Unicode's White_Space, and the split pattern's endings after an apostrophe.
@@ -120,6 +122,8 @@ class Vocabulary:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.pairs = _PairTable([(ids[a], ids[b]) for a, b in pairs], [ids[a + b] for a, b in pairs])
         self.classes = _classes().copy()
+        # Remembered pieces: hashes in order, counts of ids, where they begin in the pool, and the pool.
+        self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
 
     # -- encoding -----------------------------------------------------------------
 
@@ -257,14 +261,34 @@ class Vocabulary:
         real = kind[cut] != EDGE
         begin, end = place[cut[real]], place[cut[1:][real[:-1]]] if len(cut) > 1 else place[:0]
         h = textbuf.slices(textbuf.prefix(data), begin, end)
-        _, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-        pool, at = self._pieces(data, begin[one], end[one])
-        size = np.diff(at)
+        h, one, inverse = np.unique(h, return_index=True, return_inverse=True)
+        size, at, pool = self._distinct(h, data, begin[one], end[one])
         many = size[inverse]
         total = np.concatenate(([0], np.cumsum(many)))
-        ids = pool[np.repeat(at[:-1][inverse] - total[:-1], many) + np.arange(total[-1])]
+        ids = pool[np.repeat(at[inverse] - total[:-1], many) + np.arange(total[-1])]
         return ids, total[np.searchsorted(begin, place[base])]
 
+    def _distinct(self, h: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of ids, where they begin, and the ids of distinct pieces by their hashes in order; new pieces are remembered while there is room."""
+        keys, sizes, starts, pool = self.known
+        spot = np.searchsorted(keys, h)
+        old = np.zeros(len(h), bool) if not len(keys) else keys[np.minimum(spot, len(keys) - 1)] == h
+        new = np.flatnonzero(~old)
+        got, at = self._pieces(data, begin[new], end[new])
+        size, start = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        size[old], start[old] = sizes[spot[old]], starts[spot[old]]
+        size[new], start[new] = np.diff(at), at[:-1] + len(pool)
+        short = new[end[new] - begin[new] <= SHORT][: max(0, KNOWN - len(keys))]
+        both = np.concatenate((pool, got))
+        if len(short):
+            order = np.argsort(all_ := np.concatenate((keys, h[short])), kind="stable")
+            many = np.concatenate((sizes, size[short]))[order]
+            first = np.concatenate((starts, start[short]))[order]
+            place = np.cumsum(many) - many
+            self.known = all_[order], many, place, both[np.repeat(first - place, many) + np.arange(many.sum())]
+        return size, start, both
+
+
     def _learn(self, unknown: np.ndarray) -> None:
         """Ask the library for the class of characters newer than this Python's tables."""
         from tokenizers import Tokenizer

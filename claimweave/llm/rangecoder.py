@@ -6,11 +6,11 @@ step codes the next id of each.  The model of a block:
 
 - order 2 and order 1: a table from the hash of the last two ids (of the last
   one) to the id that followed last, with a count of how often it was right;
-- order 0: counts of the ids' high and low bytes, turned into frequencies at
-  fixed places of the block;
-- the chance that the order-2 id is right, and else the order-1 id, is mixed
-  from bits of three contexts (each order's confidence and the recent past) in
-  the logistic domain, with integer weights that learn after every id.
+- order 0: counts of classes of ids of like size (four to a power of two), which
+  become frequencies at fixed places of the block; within a class ids are alike;
+- the chance that the order-2 id is right, and else the order-1 id, is mixed in
+  the logistic domain: two contexts (the orders' confidences, and the recent
+  past) each have a learnt logit, and learnt integer weights add them up.
 
 One id takes one coding step: an interval for "the order-2 id", one for "the
 order-1 id", and the rest for order 0.  Everything is integer arithmetic, so any
@@ -23,113 +23,171 @@ import zlib
 
 import numpy as np
 
-#: Ids of a block.
-SIZE = 4096
-_FLAG, _BYTE = 12, 11  # bits of the choice among orders, and of each byte's frequencies
-_SLOTS = 1 << 10
-_LOW_BITS = np.uint64(48)
-_FLOOR = np.uint64(1 << 48)
-_REFRESH = frozenset([32, 128, 384, *range(768, SIZE + 1, 512)])
-_STRETCH = np.array([round(256 * np.log((p + 0.5) / (4096 - p - 0.5))) for p in range(4096)], np.int32)
+#: Ids of a block, and blocks coded side by side at most.
+SIZE, LANES = 1024, 8192
+_FLAG, _CLASS, _INNER = 12, 12, 13  # bits of the choice among orders, of the classes' frequencies, and of the place in a class
+_LOW = _CLASS + _INNER
+_BITS = _FLAG + _LOW
+_SLOTS = 1 << 8  # of each order's table; small tables stay in the processor's cache
+_PAST, _SURE = 16, 64  # values of the two contexts
+_TOP, _FLOOR, _WORD, _ONE = np.uint64(48), np.uint64(1 << 48), np.uint64(16), np.uint64(1)
+#: Steps between new logits and between new weights, and the steps after which the classes get new frequencies.
+_LEARNT, _WEIGHED = 4, 8
+_COUNTED = frozenset([16, 48, 112, 240, *range(496, 1 << 20, 256)])
 _SQUASH = np.array([min(4063, max(32, round(4096 / (1 + np.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
+#: The next confidence after a miss (0 to 7) and after a hit; 0: the slot is empty.
+_NEXT = np.array([1 + (s >> 2) for s in range(8)] + [min(s + 1, 7) for s in range(8)], np.int32)
+#: The other order's confidence in four steps, times 2.
+_COARSE = np.array([0, 2, 4, 4, 6, 6, 6, 6], np.int64)
+_HASH = np.array([[2654435761], [40503 << 12]], np.int64)
 
 
-def _frequencies(counts: np.ndarray) -> np.ndarray:
-    """Rows of counts as rows of frequencies, each at least 1, that sum to 2 ** _BYTE."""
-    total = 1 << _BYTE
-    f = 1 + counts.astype(np.int64) * (total - counts.shape[1]) // counts.sum(1, dtype=np.int64)[:, None]
-    f[np.arange(len(f)), f.argmax(1)] += total - f.sum(1)
-    return f
+def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of every id; the first id of every class, and by how many bits a place in it falls short of _INNER."""
+    k = [max(i.bit_length() - 3, 0) for i in range(1 << 16)]
+    kind = np.array([(i >> b) + 4 * b for i, b in enumerate(k)], np.int64)
+    first = np.flatnonzero(np.diff(kind, prepend=-1))
+    return kind, first, _INNER - np.array(k, np.int64)[first]
+
+
+_KIND, _FIRST, _STEP = _kinds()
+_N = len(_FIRST)
+
+
+def _start() -> tuple[np.ndarray, np.ndarray]:
+    """The logits at the start, 256 to 1: by the orders' confidences (own, the other's, whether they agree), and by the past."""
+    sure = np.array([[(-8 if not s else s / 2 - 1.5 + other / 4 + same * 0.75 if not k else s / 2 - 2 if not same else -8) for s in range(8) for other in range(4) for same in range(2)] for k in range(2)])
+    past = np.array([[0.5 * p.bit_count() - 1 for p in range(_PAST)]] * 2)
+    return np.clip(sure * 256, -2047, 2047).astype(np.int32), (past * 256).astype(np.int32)
 
 
 class _Model:
-    """The state of ``n`` blocks; ``step`` gives the intervals, ``learn`` takes the ids coded."""
-
-    def __init__(self, n: int, decoding: bool) -> None:
-        self.n, self.rows, self.decoding = n, np.arange(n), decoding
-        prior = 1 + 48 // (1 + np.arange(256))
-        self.high = np.tile(prior.astype(np.int32), (n, 1))
-        self.low = np.ones((n * 4, 256), np.int32)
-        self.guess = np.full((2, n * _SLOTS), -1, np.int32)  # order 1, order 2
-        self.sure = np.zeros((2, n * _SLOTS), np.int32)
-        self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.past = np.zeros(n, np.int64)
-        # For each of the two choices, three sets of 16 chances per block, and the weights that mix them.
-        self.chance = np.full((2, 3, n * 16), 1024, np.int32)
-        self.weight = np.full((2, 3, n), 24000, np.int32)
-        self.refresh()
-
-    def refresh(self) -> None:
-        self.fh, self.fl = _frequencies(self.high), _frequencies(self.low)
-        self.ch = np.cumsum(self.fh, axis=1) - self.fh
-        self.cl = np.cumsum(self.fl, axis=1) - self.fl
-        if self.decoding:
-            symbol = np.arange(256, dtype=np.uint8)
-            self.ih = np.repeat(np.tile(symbol, self.n), self.fh.ravel()).reshape(self.n, -1)
-            self.il = np.repeat(np.tile(symbol, self.n * 4), self.fl.ravel()).reshape(self.n * 4, -1)
-
-    def _mixed(self, choice: int, contexts: list) -> np.ndarray:
-        at = [self.rows * 16 + c for c in contexts]
-        seen = [_STRETCH[self.chance[choice, k][a]] for k, a in enumerate(at)]
-        dot = (seen[0] * self.weight[choice, 0] + seen[1] * self.weight[choice, 1] + seen[2] * self.weight[choice, 2]) >> 16
-        p = _SQUASH[np.clip(dot, -2047, 2047) + 2047]
-        self.used[choice] = (at, seen, p)
-        return p
-
-    def step(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The ids that orders 2 and 1 foretell (-1: none), and the share of each of 2 ** _FLAG."""
-        at1 = self.rows * _SLOTS + ((self.last * 40503 >> 4) & (_SLOTS - 1))
-        at2 = self.rows * _SLOTS + (((self.last * 2654435761 + self.before * 40503) >> 9) & (_SLOTS - 1))
-        self.at = (at1, at2)
-        g1, g2 = self.guess[0][at1], self.guess[1][at2]
-        s1, s2 = self.sure[0][at1], self.sure[1][at2]
-        same = g1 == g2
-        self.used = [None, None]
-        p2 = self._mixed(1, [s2, s1 * 2 + same, self.past])
-        p1 = self._mixed(0, [s1, s2 * 2 + (g2 >= 0), self.past])
-        share2 = np.where(g2 >= 0, p2, 0)
-        share1 = np.where((g1 >= 0) & ~same, ((1 << _FLAG) - share2) * p1 >> _FLAG, 0)
-        self.g1, self.g2 = g1, g2
-        return g2, g1, share2, share1
-
-    def learn(self, ids: np.ndarray, t: int) -> None:
-        hit2 = (self.g2 == ids) & (self.g2 >= 0)
-        hit1 = (self.g1 == ids) & (self.g1 >= 0)
-        for choice, asked, hit in ((1, self.g2 >= 0, hit2), (0, (self.g1 >= 0) & (self.g1 != self.g2) & ~hit2, hit1)):
-            at, seen, p = self.used[choice]
-            wrong = np.where(asked, (hit.astype(np.int32) << _FLAG) - p, 0)
-            for k in range(3):
-                self.weight[choice, k] += seen[k] * wrong >> 10
-                c = self.chance[choice, k]
-                old = c[at[k]]
-                c[at[k]] = np.where(asked, np.clip(old + (((hit.astype(np.int32) << _FLAG) - old) >> 4), 1, 4094), old)
-        np.clip(self.weight, -(1 << 18), 1 << 18, out=self.weight)
-        for order, hit in ((0, hit1), (1, hit2)):
-            at = self.at[order]
-            sure = self.sure[order][at]
-            self.sure[order][at] = np.where(hit, np.minimum(sure + 1, 7), sure >> 2)
-            self.guess[order][at] = ids
-        self.past = (self.past * 2 + hit2) * 2 + hit1 & 15
-        hi, lo = ids >> 8, ids & 255
-        self.high[self.rows, hi] += 24
-        self.low[self.rows * 4 + _low_context(hi), lo] += 24
-        self.before, self.last = self.last, ids.astype(np.int64)
-        if t + 1 in _REFRESH:
-            self.refresh()
-
-    def keep(self, some: np.ndarray) -> None:
-        """Go on with some of the blocks only (they stand first)."""
-        n = len(some)
-        self.n, self.rows = n, self.rows[:n]
-        for name, per in (("high", 1), ("low", 4), ("fh", 1), ("fl", 4), ("ch", 1), ("cl", 4), *((("ih", 1), ("il", 4)) if self.decoding else ())):
-            setattr(self, name, getattr(self, name)[: n * per])
-        self.guess, self.sure = self.guess[:, : n * _SLOTS], self.sure[:, : n * _SLOTS]
-        self.chance, self.weight = self.chance[:, :, : n * 16], self.weight[:, :, :n]
-        self.last, self.before, self.past = self.last[:n], self.before[:n], self.past[:n]
-
-
-def _low_context(hi: np.ndarray) -> np.ndarray:
-    return (hi > 0).astype(np.int64) + (hi > 3) + (hi > 15)
+    """The state of ``n`` blocks; ``step`` gives the shares, ``learn`` takes the ids coded.
+
+    Arrays of two rows hold order 2, then order 1.
+    """
+
+    def __init__(self, n: int) -> None:
+        self.n, self.t = n, 0
+        self.rows = np.arange(n, dtype=np.int64)
+        both = np.arange(2 * n, dtype=np.int64).reshape(2, n)
+        self.base, self.base_sure, self.base_past = both * _SLOTS, both * _SURE, both * _PAST
+        # Entries: the id that followed, times 8, and its confidence.
+        self.table = np.full(2 * n * _SLOTS, -8, np.int32)
+        self.last, self.before, self.past = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        sure, past = _start()
+        self.sure, self.of_past = np.tile(sure, (1, n)).ravel(), np.tile(past, (1, n)).ravel()
+        self.w_sure, self.w_past = np.full((2, n), 65536, np.int32), np.full((2, n), 45000, np.int32)
+        self.counts = np.ones((_N, n), np.int32)
+        self.seen = np.empty((256, n), np.int64)
+        self.ends = np.empty((_N, n), np.int16)
+        self.refresh(0)
+
+    def refresh(self, steps: int) -> None:
+        """New frequencies, each class at least 1 of 2 ** _CLASS, from the classes of the last ``steps`` steps."""
+        if steps:
+            self.counts += 2 * np.bincount(self.seen[:steps].ravel(), minlength=(_N + 1) * self.n)[: _N * self.n].reshape(_N, self.n).astype(np.int32)
+        sums = np.cumsum(self.counts, axis=0, dtype=np.int32)
+        ends = sums * ((1 << _CLASS) - _N) // sums[-1] + np.arange(1, _N + 1, dtype=np.int32)[:, None]
+        self.ends[:] = ends
+        size = np.diff(ends, axis=0, prepend=0)
+        #: Begin of a class's share, times 8192, and its size.
+        self.share = ((ends - size << 13) + size).astype(np.int32).ravel()
+        self.since = self.t
+
+    def step(self) -> tuple[np.ndarray, np.ndarray]:
+        """The shares of orders 2 and 1 of 2 ** _FLAG; their ids are the rows of ``g``."""
+        at = _HASH * self.last
+        at[0] += self.before
+        at >>= 20
+        at &= _SLOTS - 1
+        at += self.base
+        self.at = at
+        e = self.table.take(at, mode="clip")
+        self.g = e >> 3
+        e &= 7
+        self.s = e
+        at = _COARSE.take(e[::-1], mode="clip")
+        at += self.g[0] == self.g[1]
+        e = e << 3
+        at += e
+        at += self.base_sure
+        self.at_sure, self.at_past = at, self.base_past + self.past
+        self.x, self.y = self.sure.take(at, mode="clip"), self.of_past.take(self.at_past, mode="clip")
+        dot = self.w_sure * self.x
+        dot += self.w_past * self.y
+        dot >>= 16
+        dot += 2047
+        self.p = p = _SQUASH.take(dot, mode="clip")
+        share1 = ((1 << _FLAG) - 2) - p[0]
+        share1 *= p[1]
+        share1 >>= _FLAG
+        share1 += 1
+        return p[0].astype(np.int64), share1.astype(np.int64)
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        """Take the ids (int64) of this step; ``hit``: which orders had them."""
+        t, hits = self.t, hit.view(np.int8)
+        if t % _LEARNT == 0:
+            wrong = hits.astype(np.int32)
+            wrong[1] &= wrong[0] ^ 1
+            wrong <<= _FLAG
+            wrong -= self.p
+            if t % _WEIGHED == 0:
+                for w, x in ((self.w_sure, self.x), (self.w_past, self.y)):
+                    x = x * wrong
+                    x >>= 10
+                    w += x
+                    np.clip(w, 0, 1 << 18, out=w)
+            wrong >>= 4
+            for logits, at, x in ((self.sure, self.at_sure, self.x), (self.of_past, self.at_past, self.y)):
+                x += wrong
+                logits[at] = x
+        e = self.s
+        e += hits << 3
+        e = _NEXT.take(e, mode="clip")
+        e += (ids << 3).astype(np.int32)
+        self.table[self.at] = e
+        past = self.past
+        past &= 3
+        past <<= 1
+        past += hits[0]
+        past <<= 1
+        past += hits[1]
+        self.before, self.last = self.last * 40503, ids
+        self.t = t = t + 1
+        if t in _COUNTED:
+            self.refresh(t - self.since)
+
+    def spans(self, ids: np.ndarray, kind: np.ndarray, share2: np.ndarray, share1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and size of the ids' intervals, of 2 ** _BITS, and which orders have them."""
+        hit = self.g == ids
+        at = kind * self.n
+        at += self.rows
+        e = self.share.take(at, mode="clip").astype(np.int64)
+        np.copyto(at, _N * self.n, where=hit[0] | hit[1])  # ids that order 0 need not code are not counted
+        self.seen[self.t - self.since] = at
+        both = share2 + share1
+        rest = (1 << _FLAG) - both
+        size = e & 8191
+        e >>= 13
+        e <<= _INNER
+        step = _STEP.take(kind, mode="clip")
+        place = ids - _FIRST.take(kind, mode="clip")
+        place <<= step
+        place *= size
+        place += e
+        place *= rest
+        both <<= _LOW
+        place += both
+        size *= rest
+        size <<= step
+        share2 = share2 << _LOW
+        np.copyto(place, share2, where=hit[1])
+        np.copyto(size, share1 << _LOW, where=hit[1])
+        np.copyto(place, 0, where=hit[0])
+        np.copyto(size, share2, where=hit[0])
+        return place, size, hit
 
 
 class _Range:
@@ -139,136 +197,148 @@ class _Range:
         self.low = np.zeros(n, np.uint64)
         self.width = np.full(n, 1 << 63, np.uint64)
 
-    def narrow(self, begin: np.ndarray, size: np.ndarray) -> None:
-        unit = self.width >> np.uint64(_FLAG + 2 * _BYTE)
-        self.low += unit * begin.astype(np.uint64)
-        self.width = unit * size.astype(np.uint64)
+    def narrow(self, unit: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+        self.low += unit * begin.view(np.uint64)
+        self.width = unit * size.view(np.uint64)
 
-    def ready(self):
-        """Again and again: the blocks whose top 16 bits are settled; the caller moves them."""
-        some = np.flatnonzero(self.width < _FLOOR)
+    def settle(self, low: np.ndarray, width: np.ndarray, small: np.ndarray | None) -> np.ndarray:
+        """The top 16 bits of each interval, once they are the same at both its ends (of those that are ``small``)."""
+        word = low >> _TOP
+        end = low + width
+        end -= _ONE
+        end >>= _TOP
+        split = end != word
+        if small is not None:
+            split &= small
+        split = np.flatnonzero(split)
+        if len(split):
+            # The interval holds a multiple of 2 ** 48: go on with its larger side.
+            upper = end[split] << _TOP
+            under = upper - low[split]
+            over = width[split] - under
+            width[split] = np.maximum(under, over)
+            low[split] = np.where(under >= over, low[split], upper)
+            word[split] = low[split] >> _TOP
+        return word
+
+
+def _encode(table: np.ndarray) -> list[bytes]:
+    """The code of each row of ids."""
+    n, steps = table.shape
+    m, r = _Model(n), _Range(n)
+    # An id settles at most three words: 37 bits, one lost to rounding and one to each split.
+    words, full = np.empty((steps, 3, n), np.uint16), np.zeros((steps, 3, n), bool)
+    for t, ids in enumerate(np.ascontiguousarray(table.T)):
+        kind = _KIND.take(ids, mode="clip")
+        ids = ids.astype(np.int64)
+        share2, share1 = m.step()
+        begin, size, hit = m.spans(ids, kind, share2, share1)
+        r.narrow(r.width >> np.uint64(_BITS), begin, size)
+        small = np.less(r.width, _FLOOR, out=full[t, 0])
+        words[t, 0] = r.settle(r.low, r.width, small)
+        shift = small * _WORD
+        r.low <<= shift
+        r.width <<= shift
+        some, k = np.flatnonzero(r.width < _FLOOR), 1
         while len(some):
-            low, width = self.low[some], self.width[some]
-            top = (low + (width - np.uint64(1))) >> _LOW_BITS
-            split = (low >> _LOW_BITS) != top
-            if split.any():
-                # The interval holds a multiple of 2 ** 48: go on with its larger side.
-                upper = top << _LOW_BITS
-                under = upper - low
-                small = split & (under >= width - under)
-                large = split & ~small
-                width = np.where(small, under, np.where(large, width - under, width))
-                low = np.where(large, upper, low)
-            yield some, (low >> _LOW_BITS).astype(np.uint16)
-            self.low[some], self.width[some] = low << np.uint64(16), width << np.uint64(16)
-            some = some[self.width[some] < _FLOOR]
-
-
-def _interval(m: _Model, ids: np.ndarray, hi: np.ndarray, lo: np.ndarray, two: np.ndarray, one: np.ndarray, share2: np.ndarray, share1: np.ndarray):
-    bits = 2 * _BYTE
-    rest = (1 << _FLAG) - share2 - share1
-    row = m.rows * 4 + _low_context(hi)
-    fh = m.fh[m.rows, hi]
-    begin = (share2 + share1 << bits) + rest * ((m.ch[m.rows, hi] << _BYTE) + fh * m.cl[row, lo])
-    size = rest * fh * m.fl[row, lo]
-    begin = np.where(two, 0, np.where(one, share2.astype(np.int64) << bits, begin))
-    size = np.where(two, share2.astype(np.int64) << bits, np.where(one, share1.astype(np.int64) << bits, size))
-    return begin, size
+            low, width = r.low[some], r.width[some]
+            words[t, k, some], full[t, k, some] = r.settle(low, width, None), True
+            width <<= _WORD
+            r.low[some], r.width[some] = low << _WORD, width
+            some, k = some[width < _FLOOR], k + 1
+        m.learn(ids, hit)
+    last = r.low + (r.width >> _ONE)
+    counts = full.sum((0, 1))
+    code = words.reshape(3 * steps, n).T[full.reshape(3 * steps, n).T].astype(">u2")
+    ends = np.cumsum(counts).tolist()
+    return [code[a:b].tobytes() + x.to_bytes(8, "big") for a, b, x in zip([0, *ends], ends, last.tolist(), strict=False)]
 
 
 def encode_blocks(ids: np.ndarray, size: int = SIZE) -> list[bytes]:
     """The ids (below 65,536) in blocks of ``size``, the last one shorter, each coded by itself.
 
     A block is its count of ids, the crc32 of its code, and its code.  No ids
-    give no blocks.
+    give no blocks.  A shorter last block is coded with zeros after it.
     """
     n = -(-len(ids) // size)
-    if not n:
-        return []
-    table = np.zeros((n, size), np.int32)
+    table = np.zeros((n, size if n > 1 else len(ids)), np.uint16)
     table.ravel()[: len(ids)] = ids
-    m, r = _Model(n, False), _Range(n)
-    tail = len(ids) - (n - 1) * size
-    words, owners = [], []
-    done: list[tuple[int, int]] = []
-    for t in range(size):
-        if t == tail and tail < size:
-            done.append((n - 1, int(r.low[n - 1] + (r.width[n - 1] >> np.uint64(1)))))
-            n -= 1
-            if not n:
-                break
-            m.keep(np.arange(n))
-            r.low, r.width = r.low[:n].copy(), r.width[:n].copy()
-        now = table[:n, t]
-        g2, g1, share2, share1 = m.step()
-        two, one = (share2 > 0) & (g2 == now), (share1 > 0) & (g1 == now)
-        one &= ~two
-        r.narrow(*_interval(m, now, now >> 8, now & 255, two, one, share2.astype(np.int64), share1.astype(np.int64)))
-        for some, word in r.ready():
-            owners.append(some.astype(np.int32))
-            words.append(word)
-        m.learn(now, t)
-    done += [(i, int(r.low[i] + (r.width[i] >> np.uint64(1)))) for i in range(n)]
-    count = -(-len(ids) // size)
-    owner = np.concatenate([np.zeros(0, np.int32), *owners])
-    order = np.argsort(owner, kind="stable")
-    flat = np.concatenate([np.zeros(0, np.uint16), *words])[order].astype(">u2")
-    at = np.searchsorted(owner[order], np.arange(count + 1)).tolist()
-    last = dict(done)
-    out = []
-    for i in range(count):
-        code = flat[at[i] : at[i + 1]].tobytes() + last[i].to_bytes(8, "big")
-        many = tail if i == count - 1 else size
-        out.append(many.to_bytes(4, "little") + zlib.crc32(code).to_bytes(4, "little") + code)
-    return out
+    codes = [code for k in range(0, n, LANES) for code in _encode(table[k : k + LANES])]
+    counts = [size] * (n - 1) + [len(ids) - (n - 1) * size]
+    return [many.to_bytes(4, "little") + zlib.crc32(code).to_bytes(4, "little") + code for many, code in zip(counts, codes, strict=False)]
 
 
-def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
-    """The ids of each block, in the order given; ``ValueError`` where a checksum does not hold."""
-    sizes = np.array([int.from_bytes(b[:4], "little") for b in blocks], np.int64)
-    for i, b in enumerate(blocks):
-        if zlib.crc32(b[8:]) != int.from_bytes(b[4:8], "little"):
-            raise ValueError(f"block {i} is damaged")
-    order = np.argsort(-sizes, kind="stable")
-    n = len(blocks)
-    out: list = [None] * n
-    if not n:
-        return out
-    codes = [blocks[i][8:] for i in order.tolist()]
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a // b`` for 0 <= a < 2 ** 37 and 0 < b < 2 ** 13, where double precision is exact enough."""
+    return (a / b).astype(np.int64)
+
+
+def _decode(codes: list[bytes], steps: int) -> np.ndarray:
+    """Row by row the ids of each code."""
+    n = len(codes)
     flat = np.frombuffer(b"".join(codes) + bytes(16), ">u2").astype(np.uint64)
     at = np.concatenate(([0], np.cumsum([len(c) // 2 for c in codes])[:-1])).astype(np.int64)
     code = flat[at] << np.uint64(48) | flat[at + 1] << np.uint64(32) | flat[at + 2] << np.uint64(16) | flat[at + 3]
     at += 4
-    m, r = _Model(n, True), _Range(n)
-    sorted_ = sizes[order]
-    table = np.zeros((n, int(sorted_[0])), np.int32)
-    bits = 2 * _BYTE
-    for t in range(int(sorted_[0])):
-        live = int(np.searchsorted(-sorted_, -t, "left"))
-        if live < n:
-            n = live
-            m.keep(np.arange(n))
-            r.low, r.width, code, at = r.low[:n].copy(), r.width[:n].copy(), code[:n].copy(), at[:n].copy()
-        g2, g1, share2, share1 = m.step()
-        share2, share1 = share2.astype(np.int64), share1.astype(np.int64)
-        unit = r.width >> np.uint64(_FLAG + bits)
-        q = np.minimum((code - r.low) // unit, np.uint64((1 << _FLAG + bits) - 1)).astype(np.int64)
-        two = q < share2 << bits
-        one = ~two & (q < share2 + share1 << bits)
-        coded = two | one
-        rest = (1 << _FLAG) - share2 - share1
-        inner = np.where(coded, 0, (q - (share2 + share1 << bits)) // rest)
-        hi = m.ih[m.rows, inner >> _BYTE].astype(np.int64)
-        row = m.rows * 4 + _low_context(hi)
-        inside = (inner - (m.ch[m.rows, hi] << _BYTE)) // m.fh[m.rows, hi]
-        lo = m.il[row, inside].astype(np.int64)
-        now = np.where(two, g2, np.where(one, g1, hi << 8 | lo)).astype(np.int32)
-        r.narrow(*_interval(m, now, hi, lo, two, one, share2, share1))
-        for some, _ in r.ready():
-            code[some] = code[some] << np.uint64(16) | flat[at[some]]
+    m, r = _Model(n), _Range(n)
+    out = np.empty((steps, n), np.int32)
+    most = np.uint64((1 << _BITS) - 1)
+    for t in range(steps):
+        share2, share1 = m.step()
+        both = share2 + share1
+        unit = r.width >> np.uint64(_BITS)
+        q = (code - r.low) // unit
+        q = np.minimum(q, most).view(np.int64)
+        both <<= _LOW
+        known = q < both
+        both >>= _LOW
+        inner = _quotient(np.maximum(q - (both << _LOW), 0), (1 << _FLAG) - both)
+        kind = (m.ends <= (inner >> _INNER).astype(np.int16)).view(np.uint8).sum(0, dtype=np.uint8).astype(np.int64)
+        np.minimum(kind, _N - 1, out=kind)
+        e = m.share.take(kind * n + m.rows, mode="clip").astype(np.int64)
+        inner -= e >> 13 << _INNER
+        ids = _quotient(inner, e & 8191)
+        ids >>= _STEP.take(kind, mode="clip")
+        ids += _FIRST.take(kind, mode="clip")
+        guess = np.where(q < share2 << _LOW, m.g[0], m.g[1])
+        np.copyto(ids, guess, where=known)
+        ids &= 0xFFFF  # what follows the end of a shorter block may be anything
+        kind = _KIND.take(ids, mode="clip")
+        begin, size, hit = m.spans(ids, kind, share2, share1)
+        r.narrow(unit, begin, size)
+        small = r.width < _FLOOR
+        r.settle(r.low, r.width, small)
+        shift = small * _WORD
+        r.low <<= shift
+        r.width <<= shift
+        code <<= shift
+        next_ = flat.take(at, mode="clip")
+        next_ *= small
+        code |= next_
+        at += small
+        some = np.flatnonzero(r.width < _FLOOR)
+        while len(some):
+            low, width = r.low[some], r.width[some]
+            r.settle(low, width, None)
+            code[some] = code[some] << _WORD | flat.take(at[some], mode="clip")
             at[some] += 1
-        table[:n, t] = now
-        m.learn(now, t)
-    for k, i in enumerate(order.tolist()):
-        out[i] = table[k, : sizes[i]]
+            width <<= _WORD
+            r.low[some], r.width[some] = low << _WORD, width
+            some = some[width < _FLOOR]
+        out[t] = ids
+        m.learn(ids, hit)
+    return out.T
+
+
+def decode_blocks(blocks: list[bytes]) -> list[np.ndarray]:
+    """The ids of each block, in the order given; ``ValueError`` where a checksum does not hold."""
+    sizes = [int.from_bytes(b[:4], "little") for b in blocks]
+    for i, b in enumerate(blocks):
+        if len(b) < 16 or zlib.crc32(b[8:]) != int.from_bytes(b[4:8], "little"):
+            raise ValueError(f"block {i} is damaged")
+    out = []
+    for k in range(0, len(blocks), LANES):
+        part = sizes[k : k + LANES]
+        ids = _decode([b[8:] for b in blocks[k : k + LANES]], max(part))
+        out += [row[:n].copy() for row, n in zip(ids, part, strict=True)]
     return out
