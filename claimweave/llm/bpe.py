@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -30,6 +31,8 @@ from .store import input_table
 
 #: Characters of a leaf of a text; bytes of a leaf of an unsplit piece.
 LEAF, SHORT = 4096, 24
+#: Bytes beyond which a window around a join is merged by itself.
+WIDE = 96
 #: Characters of text encoded at once.
 BLOCK = 2 << 20
 #: Pieces of up to SHORT bytes whose ids a vocabulary remembers from block to block.
@@ -124,6 +127,9 @@ class Vocabulary:
         self.classes = _classes().copy()
         # Remembered pieces: hashes in order, counts of ids, where they begin in the pool, and the pool.
         self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        #: Whether pairs of neighbouring ids encode to themselves, as far as asked.
+        self.agrees: dict[tuple[int, int], bool] = {}
+        self.merges: dict[int, tuple[int, int]] | None = None
 
     # -- encoding -----------------------------------------------------------------
 
@@ -412,28 +418,83 @@ class Vocabulary:
             for w, row, k in zip(which.tolist(), ids, used.tolist(), strict=True):
                 parts[w] = row[:k]
         while len(parts) > 1:
-            parts = [self._concatenate(a, b) for a, b in zip(parts[::2], parts[1::2], strict=True)]
+            parts = self._joined(parts[::2], parts[1::2])
         return parts[0]
 
-    def _agree(self, a: int, b: int) -> bool:
-        """Whether two neighbouring ids encode to themselves."""
-        bytes_ = np.concatenate([self.blob[self.at[i] : self.at[i] + self.sizes[i]] for i in (a, b)])
-        ids, used = self._merge(self.of_byte[bytes_][None, :])
-        return used[0] == 2 and ids[0, 0] == a and ids[0, 1] == b
+    def _merged(self, rows: list[np.ndarray]) -> list[np.ndarray]:
+        """Each row of byte ids merged to its end, rows of equal length together, long ones by themselves."""
+        sizes = np.array([len(r) for r in rows], np.int64)
+        out: list = [None if len(r) <= WIDE else self._by_heap(r) for r in rows]
+        for n in np.unique(sizes[sizes <= WIDE]).tolist():
+            which = np.flatnonzero(sizes == n)
+            many = max(1, (1 << 19) // n)
+            for i in range(0, len(which), many):
+                some = which[i : i + many].tolist()
+                ids, used = self._merge(np.stack([rows[k] for k in some]))
+                for k, row, m in zip(some, ids, used.tolist(), strict=True):
+                    out[k] = row[:m]
+        return out
 
-    def _concatenate(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """Two encodings of neighbouring parts of one piece as the encoding of both together."""
-        if self._agree(left[-1], right[0]):
-            return np.concatenate((left, right))
+    def _by_heap(self, ids: np.ndarray) -> np.ndarray:
+        """One row of byte ids merged to its end: neighbours by rank, then place, from a heap."""
+        if self.merges is None:
+            t = self.pairs
+            self.merges = dict(zip(t.keys.tolist(), zip(t.rank.tolist(), t.result[t.rank].tolist(), strict=True), strict=True))
+        merges, now = self.merges, ids.tolist()
+        n = len(now)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(m[0], i, m[1]) for i in range(n - 1) if (m := merges.get(now[i] << 32 | now[i + 1]))]
+        heapq.heapify(heap)
+        while heap:
+            rank, i, new = heapq.heappop(heap)
+            j = after[i]
+            if j < 0 or now[i] < 0 or (m := merges.get(now[i] << 32 | now[j])) is None or m[0] != rank:
+                continue  # its ids have been merged otherwise
+            now[i], now[j] = new, -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b >= 0 and (m := merges.get(now[a] << 32 | now[b])):
+                    heapq.heappush(heap, (m[0], a, m[1]))
+        return np.array([x for x in now if x >= 0], np.int32)
+
+    def _agreeing(self, pairs: list[tuple[int, int]]) -> list[bool]:
+        """Whether each pair of neighbouring ids encodes to itself; a place without two ids (-1) does."""
+        if len(self.agrees) > KNOWN:
+            self.agrees.clear()
+        new = [p for p in dict.fromkeys(pairs) if p not in self.agrees]
+        got = self._merged([self.of_byte[self._bytes(np.array(p))] if min(p) >= 0 else self.of_byte[:1] for p in new])
+        self.agrees |= {p: min(p) < 0 or ids.tolist() == list(p) for p, ids in zip(new, got, strict=True)}
+        return [self.agrees[p] for p in pairs]
+
+    def _joined(self, left: list[np.ndarray], right: list[np.ndarray]) -> list[np.ndarray]:
+        """Encodings of neighbouring parts as the encoding of both together, all joins of a level at once.
+
+        The window of a join holds two ids of each side and doubles until it agrees with both.
+        """
+        out: list = [None] * len(left)
+        fit = self._agreeing([(int(x[-1]), int(y[0])) for x, y in zip(left, right, strict=True)])
+        open_ = []
+        for k, (x, y) in enumerate(zip(left, right, strict=True)):
+            if fit[k]:
+                out[k] = np.concatenate((x, y))
+            else:
+                open_.append(k)
         reach = 2
-        while True:
-            a, b = max(0, len(left) - reach), min(len(right), reach)
-            inner = self.of_byte[self._bytes(np.concatenate((left[a:], right[:b])))]
-            ids, used = self._merge(inner[None, :])
-            new = ids[0, : used[0]]
-            if (a == 0 or self._agree(left[a - 1], new[0])) and (b == len(right) or self._agree(new[-1], right[b])):
-                return np.concatenate((left[:a], new, right[b:]))
-            reach *= 2
+        while open_:
+            cuts = [(max(0, len(left[k]) - reach), min(len(right[k]), reach)) for k in open_]
+            new = self._merged([self.of_byte[self._bytes(np.concatenate((left[k][a:], right[k][:b])))] for k, (a, b) in zip(open_, cuts, strict=True)])
+            before = self._agreeing([(int(left[k][a - 1]) if a else -1, int(x[0])) for k, (a, _), x in zip(open_, cuts, new, strict=True)])
+            after = self._agreeing([(int(x[-1]), int(right[k][b]) if b < len(right[k]) else -1) for k, (_, b), x in zip(open_, cuts, new, strict=True)])
+            again = []
+            for k, (a, b), x, lo, hi in zip(open_, cuts, new, before, after, strict=True):
+                if lo and hi:
+                    out[k] = np.concatenate((left[k][:a], x, right[k][b:]))
+                else:
+                    again.append(k)
+            open_, reach = again, reach * 2
+        return out
 
     # -- decoding -----------------------------------------------------------------
 
