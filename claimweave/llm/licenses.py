@@ -1,9 +1,10 @@
 """License scans by ordered signature rules.
 
-A text becomes its words, lower-cased, with one space between.  Every license
-has hand-written patterns for its name; each is put into the phrases in which a
-license is granted, named or tagged, which makes several hundred rules in a fixed
-order.  A keyword prefilter, a vectorised look-up of word hashes, finds the few
+A text becomes its words, lower-cased, with one space between.  Some 230 rules are
+signatures of license texts, headers and notices, written out by hand in
+``licensetexts``.  Every license also has hand-written patterns for its name; each
+is put into the phrases in which a license is granted, named or tagged.  All rules
+stand in a fixed order.  A keyword prefilter, a vectorised look-up of word hashes, finds the few
 texts and the few rules that can match.  Where detections overlap, one that lies
 within another of higher or equal priority, or within a longer one of the same
 priority, is suppressed.
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textbuf
+from .licensetexts import BODIES, NOTICES
 from .store import input_table
 
 #: The base phrases and their labels.
@@ -111,52 +113,6 @@ OTHERS = (
     ("unlicense", 3, 0.9, r"this is free and unencumbered software released into the public domain", "unencumbered"),
 )
 
-#: Sentences of licence bodies and headers, written out: (label, pattern, keyword).  A text that quotes one need not name its licence.
-BODIES = (
-    ("mit-0", r"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided", "sublicense"),
-    ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "substantial"),
-    ("x11", r"shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization", "dealings"),
-    ("0bsd", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided", "granted"),
-    ("isc", r"provided that the above copyright notice and this permission notice appear in all copies", "appear"),
-    ("bsd", r"redistributions of source code must retain the above copyright notice", "redistributions"),
-    ("bsd", r"redistributions in binary form must reproduce the above copyright notice", "redistributions"),
-    ("bsd-3-clause", r"neither the names? of (?:\w+ ){1,12}?may be used to endorse or promote products derived from this software", "endorse"),
-    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "advertising"),
-    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "agreement"),
-    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "damages"),
-    ("zlib", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software", "misrepresented"),
-    ("zlib", r"altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "misrepresented"),
-    ("boost", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "accompanying"),
-    ("boost", r"unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor", "processor"),
-    ("apache-2", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce", "irrevocable"),
-    ("apache-2", r"software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "warranties"),
-    ("gpl", r"you may copy and distribute verbatim copies of the program s source code as you receive it in any medium", "verbatim"),
-    ("lgpl-2.1", r"a program that contains no derivative of any portion of the library but is designed to work with the library by being compiled or linked with it", "derivative"),
-    ("agpl-3", r"your modified version must prominently offer all users interacting with it remotely through a computer network", "remotely"),
-    ("mpl-2", r"this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla"),
-    ("mpl-2", r"covered software is provided under this license on an as is basis without warranty of any kind either expressed implied or statutory", "covered"),
-    ("mpl-1.1", r"software distributed under the license is distributed on an as is basis without warranty of any kind either express or implied see the license for the specific language governing rights and limitations under the license", "governing"),
-    ("epl-2", r"this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "eclipse"),
-    ("artistic", r"you may make and give away verbatim copies of the source form of the standard version of this package without restriction", "verbatim"),
-    ("artistic-2", r"you are permitted to use the standard version and create and use modified versions for any purpose without restriction", "permitted"),
-    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed", "verbatim"),
-    ("wtfpl", r"0 you just do what the f\w+ you want to", "want"),
-    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", "compile"),
-    ("unlicense", r"in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain", "jurisdictions"),
-    ("sil-ofl", r"neither the font software nor any of its individual components in original or modified versions may be sold by itself", "font"),
-    ("openssl", r"this product includes software developed by the openssl project", "openssl"),
-    ("php", r"this product includes php software freely available from", "php"),
-    ("python", r"psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce analyze test perform", "psf"),
-    ("cc0", r"the person who associated a work with this deed has dedicated the work to the public domain", "deed"),
-    ("cc0", r"affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders", "affirmer"),
-    ("elastic-2", r"you may not provide the software to third parties as a hosted or managed service", "hosted"),
-    ("sspl", r"if you make the functionality of the program or a modified version available to third parties as a service", "functionality"),
-    ("busl", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", "licensor"),
-    ("gpl-3", r"if you distribute copies of such a program whether gratis or for a fee you must pass on to the recipients the same freedoms that you received", "gratis"),
-    ("gpl-2", r"if you distribute copies of such a program whether gratis or for a fee you must give the recipients all the rights that you have", "gratis"),
-    ("ms-rl", r"for any file you distribute that contains code from the software in source code or binary format you must provide recipients the source code to that file", "binary"),
-)
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -174,7 +130,7 @@ def rules() -> tuple[Rule, ...]:
     """All rules in their order."""
     out = [Rule(label, p, c, re.compile(rf"\b{before}(?:{name}){after}\b"), frozenset(words.split())) for p, c, before, after in PHRASES for label, name, words in LICENSES]
     out += [Rule(label, 5, 0.7, re.compile(rf"\b(?:{name})\b"), frozenset(words.split())) for label, name, words in LICENSES if label not in AMBIGUOUS]
-    out += [Rule(label, p, c, re.compile(rf"\b(?:{pattern})\b"), frozenset(words.split())) for label, p, c, pattern, words in OTHERS]
+    out += [Rule(label, p, c, re.compile(rf"\b(?:{pattern})\b"), frozenset(words.split())) for label, p, c, pattern, words in OTHERS + NOTICES]
     out += [Rule(label, 3, 0.9, re.compile(rf"\b(?:{pattern})\b"), frozenset(words.split())) for label, pattern, words in BODIES]
     return tuple(sorted(out, key=lambda r: r.priority))
 
