@@ -40,17 +40,19 @@ MARKS = 4096
 BITS = 27
 
 
-def hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Multipliers and masks of ``n`` MinHashes."""
-    random = np.random.default_rng(77)
-    return random.integers(1 << 31, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1), random.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def hash_family(n: int) -> np.ndarray:
+    """Odd multipliers of ``n`` MinHashes; what they multiply is well mixed already."""
+    return np.random.default_rng(77).integers(1 << 31, 1 << 32, n, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
 class Lines:
     """The lines with words of a block of texts, normalised: slices of ``flat``."""
 
     rows, n_bands, bin = ROWS, BANDS, BIN
-    multiply, flip = hash_family(ROWS * BANDS)
+    multiply = hash_family(ROWS * BANDS)
 
     def __init__(self, texts: list[bytes]) -> None:
         a, base = textbuf.joined(texts, b"\n")
@@ -78,14 +80,31 @@ class Lines:
         return np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(self.begin.tolist(), self.end.tolist(), strict=True)), np.uint64, len(self.begin)).view(np.int64)
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all lines' character shingles, and where each line's begin."""
-        chars = np.flatnonzero((self.flat & 0xC0) != 0x80)
-        c0, c1 = np.searchsorted(chars, self.begin), np.searchsorted(chars, self.end)
-        per = np.maximum(c1 - c0 - SHINGLE + 1, 1)
-        at = np.concatenate(([0], np.cumsum(per)))
-        first = np.arange(at[-1]) + np.repeat(c0 - at[:-1], per)
-        stop = np.minimum(first + SHINGLE, np.repeat(c1, per))
-        return textbuf.slices(textbuf.prefix(self.flat), chars[first], np.append(chars, len(self.flat))[stop]), at
+        """The hashes of all lines' character shingles, some of them more than once, and where each line's begin.
+
+        A line of fewer characters is one shingle.
+        """
+        c = np.frombuffer(self.flat.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        ends = np.flatnonzero(c == 0x0A)
+        at = np.concatenate(([0], ends + 1))
+        starts, size = at[:-1], np.diff(at) - 1
+        h, near = np.zeros(len(c), np.uint64), np.append(c, np.zeros(SHINGLE, np.uint32))
+        for k in range(SHINGLE):
+            h += near[k : k + len(c)]
+            h *= _ODD
+        # Where a window would run over the line's end, its last whole one stands again.
+        some = size >= SHINGLE
+        for k in range(SHINGLE):
+            h[ends[some] - k] = h[ends[some] - SHINGLE]
+        some = ~some
+        if some.any():
+            whole = np.zeros(int(some.sum()), np.uint64)
+            for k in range(SHINGLE):
+                whole = (whole + np.where(size[some] > k, near[starts[some] + k], 0).astype(np.uint64)) * _ODD
+            for k in range(SHINGLE):
+                there = size[some] >= k
+                h[starts[some][there] + k] = whole[there]
+        return textbuf.mix(h), at
 
     def bands(self) -> np.ndarray:
         """One row of band keys for each line."""
@@ -97,8 +116,7 @@ class Lines:
         out = np.zeros((n, self.n_bands), np.uint64)
         room, begin = np.empty_like(x), at[:-1]
         for i in range(self.rows * self.n_bands):
-            np.bitwise_xor(x, self.flip[i], out=room)
-            np.multiply(room, self.multiply[i], out=room)
+            np.multiply(x, self.multiply[i], out=room)
             least = np.minimum.reduceat(room, begin)
             band = out[:, i // self.rows]
             band[:] = textbuf.mix(band + least + np.uint64(1 + i // self.rows))
@@ -112,7 +130,7 @@ def lowered(column: pa.Array) -> list[bytes]:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = lowered(batch.column(2))
-        for i, j in textbuf.blocks(texts, textbuf.BLOCK // 4):
+        for i, j in textbuf.blocks(texts, textbuf.BLOCK // 16):
             lines = Lines(texts[i:j])
             rows = pa.array(lines.text + i)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(lines.text) + 1, BANDS), pa.int32()), pa.array(lines.bands().ravel()))
