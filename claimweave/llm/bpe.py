@@ -36,7 +36,7 @@ WIDE = 96
 #: Characters of text encoded at once.
 BLOCK = 2 << 20
 #: Pieces of up to SHORT bytes whose ids a vocabulary remembers from block to block.
-KNOWN = 1 << 18
+KNOWN = 1 << 19
 _NONE = np.int32(2**31 - 1)
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN, EDGE = range(6)
 #: The code points of Unicode's White_Space, and the split pattern's endings after an apostrophe.
@@ -125,8 +125,15 @@ class Vocabulary:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.pairs = _PairTable([(ids[a], ids[b]) for a, b in pairs], [ids[a + b] for a, b in pairs])
         self.classes = _classes().copy()
-        # Remembered pieces: hashes in order, counts of ids, where they begin in the pool, and the pool.
+        low = int(self.of_byte.max()) + 1
+        pair = np.arange(low)
+        #: The ranks of pairs of two bytes' ids, which most pieces begin with.
+        self.byte_pairs = self.pairs.ranks(np.repeat(pair, low).astype(np.int32), np.tile(pair, low).astype(np.int32)) if low <= 1024 else None
+        self.low = low
+        # Remembered pieces: hashes in order, counts of ids, where they begin in the pool, and the pool; those to be put in; their count.
         self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n_waiting = 0
         #: Whether pairs of neighbouring ids encode to themselves, as far as asked.
         self.agrees: dict[tuple[int, int], bool] = {}
         self.merges: dict[int, tuple[int, int]] | None = None
@@ -284,16 +291,26 @@ class Vocabulary:
         size, start = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
         size[old], start[old] = sizes[spot[old]], starts[spot[old]]
         size[new], start[new] = np.diff(at), at[:-1] + len(pool)
-        short = new[end[new] - begin[new] <= SHORT][: max(0, KNOWN - len(keys))]
-        both = np.concatenate((pool, got))
-        if len(short):
-            order = np.argsort(all_ := np.concatenate((keys, h[short])), kind="stable")
-            many = np.concatenate((sizes, size[short]))[order]
-            first = np.concatenate((starts, start[short]))[order]
-            place = np.cumsum(many) - many
-            self.known = all_[order], many, place, both[np.repeat(first - place, many) + np.arange(many.sum())]
-        return size, start, both
-
+        if len(keys) < KNOWN:
+            short = new[end[new] - begin[new] <= SHORT]
+            self._remember(h[short], size[short], got[np.repeat(start[short] - len(pool) - (np.cumsum(size[short]) - size[short]), size[short]) + np.arange(size[short].sum())])
+        return size, start, np.concatenate((pool, got))
+
+    def _remember(self, h: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        """Add pieces to the known ones; they are put in order when enough have come together."""
+        self.waiting.append((h, size, ids))
+        self.n_waiting += len(h)
+        keys, sizes, starts, pool = self.known
+        if self.n_waiting * 2 < len(keys):
+            return
+        h, size, ids = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
+        self.waiting, self.n_waiting = [], 0
+        h, at = np.unique(np.concatenate((keys, h)), return_index=True)
+        size = np.concatenate((sizes, size))
+        first = (np.cumsum(size) - size)[at]  # known pieces stand in the pool in their order
+        size = size[at]
+        place = np.cumsum(size) - size
+        self.known = h, size, place, np.concatenate((pool, ids))[np.repeat(first - place, size) + np.arange(size.sum())]
 
     def _learn(self, unknown: np.ndarray) -> None:
         """Ask the library for the class of characters newer than this Python's tables."""
@@ -375,7 +392,10 @@ class Vocabulary:
         used = np.full(n, width, np.int64)
         if width == 1 or not n:
             return ids, used
-        rank = self.pairs.ranks(ids[:, :-1], ids[:, 1:])
+        if self.byte_pairs is not None:
+            rank = self.byte_pairs.take(ids[:, :-1] * self.low + ids[:, 1:])  # every row begins as bytes
+        else:
+            rank = self.pairs.ranks(ids[:, :-1], ids[:, 1:])
         rows, out, left = np.arange(n), ids.copy(), width
         work = ids
         while len(rows):

@@ -8,13 +8,14 @@ step codes the next id of each.  The model of a block:
   one) to the id that followed last, with a count of how often it was right;
 - order 0: counts of classes of ids of like size (four to a power of two), which
   become frequencies at fixed places of the block; within a class ids are alike;
-- the chance that the order-2 id is right, and else the order-1 id, is mixed in
-  the logistic domain: two contexts (the orders' confidences, and the recent
-  past) each have a learnt logit, and learnt integer weights add them up.
-
-One id takes one coding step: an interval for "the order-2 id", one for "the
-order-1 id", and the rest for order 0.  Everything is integer arithmetic, so any
-machine decodes what another has coded.
+- of order 2's and order 1's ids the one of the surer order is the guess (order
+  2's, if they are equally sure); the chance that it is right is mixed in the
+  logistic domain: two contexts (both orders' confidences, and the recent past)
+  each have a learnt logit, and learnt integer weights add them up.
+
+One id takes one coding step: an interval for "as guessed", and the rest for
+order 0.  Everything is integer arithmetic, so any machine decodes what another
+has coded.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ _FLAG, _CLASS, _INNER = 12, 12, 13  # bits of the choice among orders, of the cl
 _LOW = _CLASS + _INNER
 _BITS = _FLAG + _LOW
 _SLOTS = 1 << 8  # of each order's table; small tables stay in the processor's cache
-_PAST, _SURE = 16, 64  # values of the two contexts
+_PAST, _SURE = 16, 128  # values of the two contexts
 _TOP, _FLOOR, _WORD, _ONE = np.uint64(48), np.uint64(1 << 48), np.uint64(16), np.uint64(1)
 #: Steps between new logits and between new weights, and the steps after which the classes get new frequencies.
 _LEARNT, _WEIGHED = 4, 8
@@ -37,8 +38,6 @@ _COUNTED = frozenset([16, 48, 112, 240, *range(496, 1 << 20, 256)])
 _SQUASH = np.array([min(4063, max(32, round(4096 / (1 + np.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
 #: The next confidence after a miss (0 to 7) and after a hit; 0: the slot is empty.
 _NEXT = np.array([1 + (s >> 2) for s in range(8)] + [min(s + 1, 7) for s in range(8)], np.int32)
-#: The other order's confidence in four steps, times 2.
-_COARSE = np.array([0, 2, 4, 4, 6, 6, 6, 6], np.int64)
 _HASH = np.array([[2654435761], [40503 << 12]], np.int64)
 
 
@@ -47,7 +46,7 @@ def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     k = [max(i.bit_length() - 3, 0) for i in range(1 << 16)]
     kind = np.array([(i >> b) + 4 * b for i, b in enumerate(k)], np.int64)
     first = np.flatnonzero(np.diff(kind, prepend=-1))
-    return kind, first, _INNER - np.array(k, np.int64)[first]
+    return kind.astype(np.uint8), first, _INNER - np.array(k, np.int64)[first]
 
 
 _KIND, _FIRST, _STEP = _kinds()
@@ -55,29 +54,28 @@ _N = len(_FIRST)
 
 
 def _start() -> tuple[np.ndarray, np.ndarray]:
-    """The logits at the start, 256 to 1: by the orders' confidences (own, the other's, whether they agree), and by the past."""
-    sure = np.array([[(-8 if not s else s / 2 - 1.5 + other / 4 + same * 0.75 if not k else s / 2 - 2 if not same else -8) for s in range(8) for other in range(4) for same in range(2)] for k in range(2)])
-    past = np.array([[0.5 * p.bit_count() - 1 for p in range(_PAST)]] * 2)
+    """The logits at the start, 256 to 1: by the orders' confidences and whether they agree, and by the past."""
+    sure = np.array([-8 if not two + one else max(two, one) / 2 - 1.5 + (0.75 if same else -0.25) for two in range(8) for one in range(8) for same in range(2)])
+    past = np.array([0.5 * p.bit_count() - 1 for p in range(_PAST)])
     return np.clip(sure * 256, -2047, 2047).astype(np.int32), (past * 256).astype(np.int32)
 
 
 class _Model:
-    """The state of ``n`` blocks; ``step`` gives the shares, ``learn`` takes the ids coded.
+    """The state of ``n`` blocks; ``step`` gives the guess's share, ``learn`` takes the ids coded.
 
     Arrays of two rows hold order 2, then order 1.
     """
 
     def __init__(self, n: int) -> None:
         self.n, self.t = n, 0
-        self.rows = np.arange(n, dtype=np.int64)
-        both = np.arange(2 * n, dtype=np.int64).reshape(2, n)
-        self.base, self.base_sure, self.base_past = both * _SLOTS, both * _SURE, both * _PAST
+        self.rows = rows = np.arange(n, dtype=np.int64)
+        self.base, self.base_sure, self.base_past = np.arange(2 * n, dtype=np.int64).reshape(2, n) * _SLOTS, rows * _SURE, rows * _PAST
         # Entries: the id that followed, times 8, and its confidence.
         self.table = np.full(2 * n * _SLOTS, -8, np.int32)
         self.last, self.before, self.past = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
         sure, past = _start()
-        self.sure, self.of_past = np.tile(sure, (1, n)).ravel(), np.tile(past, (1, n)).ravel()
-        self.w_sure, self.w_past = np.full((2, n), 65536, np.int32), np.full((2, n), 45000, np.int32)
+        self.sure, self.of_past = np.tile(sure, n), np.tile(past, n)
+        self.w_sure, self.w_past = np.full(n, 65536, np.int32), np.full(n, 45000, np.int32)
         self.counts = np.ones((_N, n), np.int32)
         self.seen = np.empty((256, n), np.int64)
         self.ends = np.empty((_N, n), np.int16)
@@ -95,8 +93,8 @@ class _Model:
         self.share = ((ends - size << 13) + size).astype(np.int32).ravel()
         self.since = self.t
 
-    def step(self) -> tuple[np.ndarray, np.ndarray]:
-        """The shares of orders 2 and 1 of 2 ** _FLAG; their ids are the rows of ``g``."""
+    def step(self) -> np.ndarray:
+        """The share of the guess ``g`` of 2 ** _FLAG."""
         at = _HASH * self.last
         at[0] += self.before
         at >>= 20
@@ -104,33 +102,28 @@ class _Model:
         at += self.base
         self.at = at
         e = self.table.take(at, mode="clip")
-        self.g = e >> 3
+        self.both = e >> 3
         e &= 7
         self.s = e
-        at = _COARSE.take(e[::-1], mode="clip")
-        at += self.g[0] == self.g[1]
-        e = e << 3
-        at += e
-        at += self.base_sure
-        self.at_sure, self.at_past = at, self.base_past + self.past
-        self.x, self.y = self.sure.take(at, mode="clip"), self.of_past.take(self.at_past, mode="clip")
+        self.g = np.where(e[0] >= e[1], self.both[0], self.both[1])
+        at = e[0] << 3
+        at += e[1]
+        at <<= 1
+        at += self.both[0] == self.both[1]
+        self.at_sure, self.at_past = self.base_sure + at, self.base_past + self.past
+        self.x, self.y = self.sure.take(self.at_sure, mode="clip"), self.of_past.take(self.at_past, mode="clip")
         dot = self.w_sure * self.x
         dot += self.w_past * self.y
         dot >>= 16
         dot += 2047
-        self.p = p = _SQUASH.take(dot, mode="clip")
-        share1 = ((1 << _FLAG) - 2) - p[0]
-        share1 *= p[1]
-        share1 >>= _FLAG
-        share1 += 1
-        return p[0].astype(np.int64), share1.astype(np.int64)
+        self.p = _SQUASH.take(dot, mode="clip")
+        return self.p.astype(np.int64)
 
     def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        """Take the ids (int64) of this step; ``hit``: which orders had them."""
-        t, hits = self.t, hit.view(np.int8)
+        """Take the ids (int64) of this step; ``hit``: which were guessed."""
+        t = self.t
         if t % _LEARNT == 0:
-            wrong = hits.astype(np.int32)
-            wrong[1] &= wrong[0] ^ 1
+            wrong = hit.astype(np.int32)
             wrong <<= _FLAG
             wrong -= self.p
             if t % _WEIGHED == 0:
@@ -143,32 +136,32 @@ class _Model:
             for logits, at, x in ((self.sure, self.at_sure, self.x), (self.of_past, self.at_past, self.y)):
                 x += wrong
                 logits[at] = x
+        hits = (self.both == ids).view(np.int8)
         e = self.s
         e += hits << 3
         e = _NEXT.take(e, mode="clip")
         e += (ids << 3).astype(np.int32)
         self.table[self.at] = e
         past = self.past
-        past &= 3
-        past <<= 1
-        past += hits[0]
+        past &= 7
         past <<= 1
-        past += hits[1]
+        past += hit
         self.before, self.last = self.last * 40503, ids
         self.t = t = t + 1
         if t in _COUNTED:
             self.refresh(t - self.since)
 
-    def spans(self, ids: np.ndarray, kind: np.ndarray, share2: np.ndarray, share1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Begin and size of the ids' intervals, of 2 ** _BITS, and which orders have them."""
+    def spans(self, ids: np.ndarray, kind: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin and size of the ids' intervals, of 2 ** _BITS, and which were guessed."""
         hit = self.g == ids
         at = kind * self.n
         at += self.rows
         e = self.share.take(at, mode="clip").astype(np.int64)
-        np.copyto(at, _N * self.n, where=hit[0] | hit[1])  # ids that order 0 need not code are not counted
+        np.copyto(at, _N * self.n, where=hit)  # ids that order 0 need not code are not counted
         self.seen[self.t - self.since] = at
-        both = share2 + share1
-        rest = (1 << _FLAG) - both
+        missed = ~hit
+        rest = (1 << _FLAG) - share
+        rest *= missed
         size = e & 8191
         e >>= 13
         e <<= _INNER
@@ -178,15 +171,11 @@ class _Model:
         place *= size
         place += e
         place *= rest
-        both <<= _LOW
-        place += both
         size *= rest
         size <<= step
-        share2 = share2 << _LOW
-        np.copyto(place, share2, where=hit[1])
-        np.copyto(size, share1 << _LOW, where=hit[1])
-        np.copyto(place, 0, where=hit[0])
-        np.copyto(size, share2, where=hit[0])
+        share = share << _LOW
+        place += share * missed
+        size += share * hit
         return place, size, hit
 
 
@@ -228,11 +217,10 @@ def _encode(table: np.ndarray) -> list[bytes]:
     m, r = _Model(n), _Range(n)
     # An id settles at most three words: 37 bits, one lost to rounding and one to each split.
     words, full = np.empty((steps, 3, n), np.uint16), np.zeros((steps, 3, n), bool)
-    for t, ids in enumerate(np.ascontiguousarray(table.T)):
-        kind = _KIND.take(ids, mode="clip")
-        ids = ids.astype(np.int64)
-        share2, share1 = m.step()
-        begin, size, hit = m.spans(ids, kind, share2, share1)
+    columns = np.ascontiguousarray(table.T)
+    for t, (ids, kind) in enumerate(zip(columns, _KIND[columns], strict=True)):
+        ids, kind = ids.astype(np.int64), kind.astype(np.int64)
+        begin, size, hit = m.spans(ids, kind, m.step())
         r.narrow(r.width >> np.uint64(_BITS), begin, size)
         small = np.less(r.width, _FLOOR, out=full[t, 0])
         words[t, 0] = r.settle(r.low, r.width, small)
@@ -284,15 +272,14 @@ def _decode(codes: list[bytes], steps: int) -> np.ndarray:
     out = np.empty((steps, n), np.int32)
     most = np.uint64((1 << _BITS) - 1)
     for t in range(steps):
-        share2, share1 = m.step()
-        both = share2 + share1
+        share = m.step()
         unit = r.width >> np.uint64(_BITS)
         q = (code - r.low) // unit
         q = np.minimum(q, most).view(np.int64)
-        both <<= _LOW
-        known = q < both
-        both >>= _LOW
-        inner = _quotient(np.maximum(q - (both << _LOW), 0), (1 << _FLAG) - both)
+        inner = q - (share << _LOW)
+        known = inner < 0
+        np.maximum(inner, 0, out=inner)
+        inner = _quotient(inner, (1 << _FLAG) - share)
         kind = (m.ends <= (inner >> _INNER).astype(np.int16)).view(np.uint8).sum(0, dtype=np.uint8).astype(np.int64)
         np.minimum(kind, _N - 1, out=kind)
         e = m.share.take(kind * n + m.rows, mode="clip").astype(np.int64)
@@ -300,11 +287,10 @@ def _decode(codes: list[bytes], steps: int) -> np.ndarray:
         ids = _quotient(inner, e & 8191)
         ids >>= _STEP.take(kind, mode="clip")
         ids += _FIRST.take(kind, mode="clip")
-        guess = np.where(q < share2 << _LOW, m.g[0], m.g[1])
-        np.copyto(ids, guess, where=known)
+        np.copyto(ids, m.g, where=known)
         ids &= 0xFFFF  # what follows the end of a shorter block may be anything
-        kind = _KIND.take(ids, mode="clip")
-        begin, size, hit = m.spans(ids, kind, share2, share1)
+        kind = _KIND.take(ids, mode="clip").astype(np.int64)
+        begin, size, hit = m.spans(ids, kind, share)
         r.narrow(unit, begin, size)
         small = r.width < _FLOOR
         r.settle(r.low, r.width, small)
