@@ -35,8 +35,8 @@ LEAF, SHORT = 4096, 24
 WIDE = 96
 #: Characters of text encoded at once.
 BLOCK = 2 << 20
-#: Pieces of up to SHORT bytes whose ids a vocabulary remembers from block to block.
-KNOWN = 1 << 19
+#: Pieces of up to SHORT bytes whose ids a vocabulary remembers from block to block, and the bits of their table's places.
+KNOWN, PLACES = 1 << 19, 20
 _NONE = np.int32(2**31 - 1)
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN, EDGE = range(6)
 #: The code points of Unicode's White_Space, and the split pattern's endings after an apostrophe.
@@ -130,10 +130,9 @@ class Vocabulary:
         #: The ranks of pairs of two bytes' ids, which most pieces begin with.
         self.byte_pairs = self.pairs.ranks(np.repeat(pair, low).astype(np.int32), np.tile(pair, low).astype(np.int32)) if low <= 1024 else None
         self.low = low
-        # Remembered pieces: hashes in order, counts of ids, where they begin in the pool, and the pool; those to be put in; their count.
-        self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
-        self.waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.n_waiting = 0
+        # Remembered pieces: hashes at one of two places, there the place of their ids in the pool and the number of ids.
+        self.hashes, self.spans = np.zeros(1 << PLACES, np.uint64), np.zeros(1 << PLACES, np.int64)
+        self.n_known, self.pool, self.used = 0, np.zeros(1 << 16, np.int32), 0
         #: Whether pairs of neighbouring ids encode to themselves, as far as asked.
         self.agrees: dict[tuple[int, int], bool] = {}
         self.merges: dict[int, tuple[int, int]] | None = None
@@ -266,51 +265,49 @@ class Vocabulary:
         kind[base[1:] - 1] = EDGE
         edge = self._starts(cps, kind, base)
         # Words as slices of bytes.
-        width = 1 + (cps >= 0x80).astype(np.int64) + (cps >= 0x800) + (cps >= 0x10000)
-        place = np.concatenate(([0], np.cumsum(width)))
         data = np.frombuffer(text.encode(), np.uint8)
+        place = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
         edge[base[1:] - 1] = True
         cut = np.flatnonzero(edge)
         real = kind[cut] != EDGE
         begin, end = place[cut[real]], place[cut[1:][real[:-1]]] if len(cut) > 1 else place[:0]
-        h = textbuf.slices(textbuf.prefix(data), begin, end)
-        h, one, inverse = np.unique(h, return_index=True, return_inverse=True)
-        size, at, pool = self._distinct(h, data, begin[one], end[one])
-        many = size[inverse]
+        many, at, pool = self._found(textbuf.slices(textbuf.prefix(data), begin, end) | np.uint64(1), data, begin, end)
         total = np.concatenate(([0], np.cumsum(many)))
-        ids = pool[np.repeat(at[inverse] - total[:-1], many) + np.arange(total[-1])]
+        ids = pool[np.repeat(at - total[:-1], many) + np.arange(total[-1])]
         return ids, total[np.searchsorted(begin, place[base])]
 
-    def _distinct(self, h: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Counts of ids, where they begin, and the ids of distinct pieces by their hashes in order; new pieces are remembered while there is room."""
-        keys, sizes, starts, pool = self.known
-        spot = np.searchsorted(keys, h)
-        old = np.zeros(len(h), bool) if not len(keys) else keys[np.minimum(spot, len(keys) - 1)] == h
-        new = np.flatnonzero(~old)
-        got, at = self._pieces(data, begin[new], end[new])
-        size, start = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
-        size[old], start[old] = sizes[spot[old]], starts[spot[old]]
-        size[new], start[new] = np.diff(at), at[:-1] + len(pool)
-        if len(keys) < KNOWN:
-            short = new[end[new] - begin[new] <= SHORT]
-            self._remember(h[short], size[short], got[np.repeat(start[short] - len(pool) - (np.cumsum(size[short]) - size[short]), size[short]) + np.arange(size[short].sum())])
-        return size, start, np.concatenate((pool, got))
-
-    def _remember(self, h: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
-        """Add pieces to the known ones; they are put in order when enough have come together."""
-        self.waiting.append((h, size, ids))
-        self.n_waiting += len(h)
-        keys, sizes, starts, pool = self.known
-        if self.n_waiting * 2 < len(keys):
-            return
-        h, size, ids = (np.concatenate(x) for x in zip(*self.waiting, strict=True))
-        self.waiting, self.n_waiting = [], 0
-        h, at = np.unique(np.concatenate((keys, h)), return_index=True)
-        size = np.concatenate((sizes, size))
-        first = (np.cumsum(size) - size)[at]  # known pieces stand in the pool in their order
-        size = size[at]
-        place = np.cumsum(size) - size
-        self.known = h, size, place, np.concatenate((pool, ids))[np.repeat(first - place, size) + np.arange(size.sum())]
+    def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64((1 << PLACES) - 1)
+        return (h >> np.uint64(40) & mask).astype(np.int64), (h >> np.uint64(12) & mask).astype(np.int64)
+
+    def _found(self, h: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts of ids of pieces by their hashes, where they begin, and the pool they are in; new pieces are remembered while there is room."""
+        one, two = self._places(h)
+        second = self.hashes[two] == h
+        span = self.spans[np.where(second, two, one)]
+        new = np.flatnonzero(~second & (self.hashes[one] != h))
+        if len(new):
+            key, first, inverse = np.unique(h[new], return_index=True, return_inverse=True)
+            a, b = begin[new[first]], end[new[first]]
+            order = np.argsort(b - a > SHORT, kind="stable")  # long ones last: they are not remembered
+            ids, at = self._pieces(data, a[order], b[order])
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate((self.pool[: self.used], np.empty(self.used + 2 * len(ids), np.int32)))
+            self.pool[self.used : self.used + len(ids)] = ids
+            got = np.empty(len(key), np.int64)
+            got[order] = self.used + at[:-1] << 24 | np.diff(at)
+            span[new] = got[inverse]
+            if self.n_known < KNOWN:
+                short = order[: int((b - a <= SHORT).sum())]
+                for choice in range(2):
+                    places = self._places(key[short])[choice]
+                    free = self.hashes[places] == 0
+                    self.hashes[places[free]], self.spans[places[free]] = key[short][free], got[short][free]
+                    short = short[self.hashes[places] != key[short]]  # another has the place
+                n = int((b - a <= SHORT).sum())
+                self.n_known += n
+                self.used += int(at[n])
+        return span & 0xFFFFFF, span >> 24, self.pool
 
     def _learn(self, unknown: np.ndarray) -> None:
         """Ask the library for the class of characters newer than this Python's tables."""
@@ -596,8 +593,12 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
     return rows.select(rows["ids"], *(rows[c] for c in others)).mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: both directions in one pass over whole texts."""
+def round_trip(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: both directions in one pass over whole texts; with ``keep_ids`` also ``ids``.
+
+    Null and empty texts have no ids.  Repeated rows stay, a null doc_id too; an
+    empty table gives an empty result; other columns are ignored.
+    """
     path = path or default_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -609,9 +610,12 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 words, cuts = ids.astype("<u4"), first.tolist()
                 sums = [hashlib.sha256(words[a:b]).hexdigest() for a, b in zip(cuts, cuts[1:], strict=False)]
                 back = [hashlib.sha256(t.encode()).hexdigest() for t in v.decode(ids, first)]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(np.diff(first)), pa.array(sums), pa.array(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = {"doc_id": batch.column(0)[i:j], "n_tokens": pa.array(np.diff(first)), "ids_sha256": pa.array(sums), "decoded_sha256": pa.array(back)}
+                if keep_ids:
+                    columns["ids"] = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*columns.values()], names=[*columns])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

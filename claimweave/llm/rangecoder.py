@@ -236,10 +236,13 @@ def _encode(table: np.ndarray) -> list[bytes]:
             some, k = some[width < _FLOOR], k + 1
         m.learn(ids, hit)
     last = r.low + (r.width >> _ONE)
-    counts = full.sum((0, 1))
-    code = words.reshape(3 * steps, n).T[full.reshape(3 * steps, n).T].astype(">u2")
-    ends = np.cumsum(counts).tolist()
-    return [code[a:b].tobytes() + x.to_bytes(8, "big") for a, b, x in zip([0, *ends], ends, last.tolist(), strict=False)]
+    out = []
+    for k in range(0, n, 512):
+        used = full[:, :, k : k + 512].reshape(3 * steps, -1).T
+        code = words[:, :, k : k + 512].reshape(3 * steps, -1).T[used].astype(">u2")
+        ends = np.cumsum(used.sum(1)).tolist()
+        out += [code[a:b].tobytes() + x.to_bytes(8, "big") for a, b, x in zip([0, *ends], ends, last[k : k + 512].tolist(), strict=False)]
+    return out
 
 
 def encode_blocks(ids: np.ndarray, size: int = SIZE) -> list[bytes]:

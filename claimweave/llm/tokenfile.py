@@ -17,6 +17,7 @@ never read.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,15 +30,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path, text_blocks, vocabulary
-from .rangecoder import decode_blocks, encode_blocks
+from .rangecoder import LANES, SIZE, decode_blocks, encode_blocks
 from .store import input_table, new_path, written
 
-#: Ids gathered for a segment, unless one document has more.
-SEGMENT = 3_000_000
+#: Ids gathered for a segment, unless one document has more: as many blocks as are coded side by side.
+SEGMENT = LANES * SIZE
 END = 2
 _MARK = b"TOKS"
 
 
+def _store(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder; Hadoop's names for S3 are understood."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
+
+
 def _segment(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     blocks = encode_blocks(ids)
     has = np.array([i is not None for i in doc_ids], np.uint8)
@@ -73,11 +79,12 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end: int
     An empty table writes no shard.
     """
     path = path or default_path()
-    fs.FileSystem.from_uri(folder)[0].create_dir(fs.FileSystem.from_uri(folder)[1], recursive=True)
+    store, at = _store(folder)
+    store.create_dir(at, recursive=True)
 
     def run(batches):
         v = vocabulary(path)
-        store, at = fs.FileSystem.from_uri(folder)
+        store, at = _store(folder)
         name = f"{uuid.uuid4().hex}.toks"
         out, n_docs, n_ids = None, 0, 0
         names, counts, parts, size = [], [], [], 0
@@ -118,7 +125,7 @@ def read_tokens(manifest: DataFrame, folder: str, digest=None, columns: str = "i
     schema = f"doc_id long, start long, n_tokens long, {columns}"
 
     def run(batches):
-        store, at = fs.FileSystem.from_uri(folder)
+        store, at = _store(folder)
         types = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("v", pa.int64() if digest else pa.list_(pa.int32()))])
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
