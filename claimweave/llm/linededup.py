@@ -6,10 +6,13 @@ twelve bands of five: lines with Jaccard similarity 0.8 meet in a band with
 probability 0.991, with 0.9 in all but 2 of 100,000 cases.  Every group of lines that meet is compared by
 exact Jaccard similarity of the shingle sets (pairs already connected need no
 comparison), links become components by distributed union-find, and of each
-component the first occurrence in the corpus stays.
+component the first occurrence in the corpus stays.  A group too large for one
+task is first compared with one of its lines, part by part; only what is unlike
+that line is compared with the whole group.
 
 Only keys and signatures are shuffled, and texts once to lose their lines.  Joins with
-a table of one row for each key are hashed, so that the large side is not sorted.  A bitmap of constant size picks the
+a table of one row for each key are hashed, so that the large side is not sorted,
+and the at most ``FEW`` keys with more than one in ``FEW`` of all rows are broadcast.  A bitmap of constant size picks the
 lines whose text is needed; an exact join follows it, so a full bitmap costs
 time but never a result.
 """
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textbuf
 from .components import components
-from .store import input_table, remove, unused, written
+from .store import input_table, made, remove, unused, written
 
 SHINGLE, ROWS, BANDS, THRESHOLD = 5, 5, 12, 0.8
 #: Lines of a group that one task compares with each other.
@@ -36,6 +39,8 @@ TILE = 1000
 BIN = 1500
 #: Marks of a line's shingles, by which dissimilar pairs are told apart before their sets are compared.
 MARKS = 4096
+#: A key is hot if it has more than one in FEW of all rows; so there are fewer than FEW.
+FEW = 1000
 #: Bits of the bitmap: 16 MB, whatever the input.
 BITS = 27
 
@@ -175,10 +180,12 @@ def _long_hash(value: int) -> int:
     return xxhash.xxh64_intdigest((value & (1 << 64) - 1).to_bytes(8, "little"), 42)
 
 
-def _verified(t: pa.Table, kind: type[Lines] = Lines) -> pa.Table:
+def _verified(t: pa.Table, kind: type[Lines] = Lines, star: bool = False) -> pa.Table:
     """Links within each group, or between two of its tiles: a spanning forest of the pairs that are similar.
 
     The table holds many groups; all their lines become shingle sets at once.
+    With ``star`` every line is only compared with the first of its group, and the
+    rows are (band, line, first), with null for the first where they are unlike.
     """
     t = t.sort_by([("band", "ascending"), ("x", "ascending"), ("y", "ascending"), ("line", "ascending")])
     lines, sides = t.column("line").to_pylist(), t.column("side").to_pylist()
@@ -199,6 +206,10 @@ def _verified(t: pa.Table, kind: type[Lines] = Lines) -> pa.Table:
     shared = np.bincount(row[keys[at_] == asked], minlength=len(lines))
     near = shared >= THRESHOLD * (size + size[lead] - shared)
     own = np.arange(len(lines))
+    if star:
+        some = np.flatnonzero(lead != own)
+        keyed = np.array(lines, np.int64)
+        return pa.table({"band": pa.array(groups[0][some]), "a": pa.array(keyed[some]), "b": pa.array(keyed[lead[some]], mask=~near[some])})
     links = [(lines[a], lines[b]) for a, b in zip(lead[near & (lead != own)].tolist(), own[near & (lead != own)].tolist(), strict=True)]
     # Groups with a line unlike the first: all their pairs.
     first = np.concatenate(([0], np.cumsum(size)))
@@ -295,34 +306,65 @@ def similar_links(signed: DataFrame, docs: DataFrame, kind: type[Lines] = Lines)
 
     found = docs.select("text").mapInArrow(texts, "line long, norm string")
     known, _ = written(found.join(needed, "line", "left_semi").groupBy("line").agg(F.min("norm").alias("norm")), "norms", "zstd")
-    own = F.pmod(F.xxhash64("line", F.lit(3)), F.col("tiles")).cast("int")
-    dealt = (
-        wanted.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), F.col("own").alias("side"), "line")
-        .join(known, "line")
-    )
-    bins = 1 + wanted.count() // kind.bin
-    dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("band", "x", "y"), F.lit(bins)))
-    return dealt.groupBy("bin").applyInArrow(lambda t: _verified(t, kind), "a long, b long")
+    part = F.pmod(F.xxhash64("line", F.lit(3)), F.col("tiles")).cast("int")
+    nothing = F.lit(0)
+
+    def compared(rows: DataFrame, schema: str, star: bool) -> DataFrame:
+        bins = 1 + rows.count() // kind.bin
+        dealt = rows.join(known.hint("shuffle_hash"), "line").withColumn("bin", F.pmod(F.xxhash64("band", "x", "y"), F.lit(bins)))
+        return dealt.groupBy("bin").applyInArrow(lambda t: _verified(t, kind, star), schema)
+
+    small = wanted.where("tiles = 1").select("band", nothing.alias("x"), nothing.alias("y"), nothing.alias("side"), "line")
+    links = compared(small, "a long, b long", False)
+    large = wanted.where("tiles > 1")
+    if large.isEmpty():
+        return links
+    # Each part of a large group has the group's first line.
+    first = large.groupBy("band", "tiles").agg(F.min("line").alias("line"))
+    parts = large.select("band", part.alias("x"), "line").unionByName(first.select("band", F.explode(F.sequence(nothing, F.col("tiles") - 1)).alias("x"), "line")).distinct()
+    near, _ = written(compared(parts.select("band", "x", nothing.alias("y"), nothing.alias("side"), "line"), "band long, a long, b long", True), "stars")
+    rest = near.where("b is null").select("band", F.col("a").alias("line")).distinct()
+    counts = rest.groupBy("band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("homes"))
+    home = F.pmod(F.xxhash64("line", F.lit(5)), F.col("homes")).cast("int")
+    both = large.join(counts.hint("shuffle_hash"), "band")
+    visits = both.select("band", F.explode(F.sequence(nothing, F.col("homes") - 1)).alias("x"), part.alias("y"), F.lit(1).alias("side"), "line")
+    hosts = both.join(rest.hint("shuffle_hash"), ["band", "line"]).select("band", home.alias("x"), F.explode(F.sequence(nothing, F.col("tiles") - 1)).alias("y"), F.lit(0).alias("side"), "line")
+    unlike, _ = written(visits.unionByName(hosts), "unlike")
+    return links.unionByName(near.where("b is not null").select("a", "b")).unionByName(compared(unlike, "a long, b long", False))
+
+
+def _met(many: DataFrame, ones: DataFrame, key: str, hot: Column) -> DataFrame:
+    """``many`` joined with ``ones``, which has one row for each key; the rows of ``ones`` that are ``hot``, fewer than FEW, are broadcast."""
+    few = ones.where(hot)
+    rest = many.join(F.broadcast(few.select(key)), key, "left_anti")
+    return many.join(F.broadcast(few), key).unionByName(rest.join(ones.where(~hot).hint("shuffle_hash"), key))
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """``row, position`` of every line to drop: all but its component's first occurrence.
 
     ``row`` is the hash of doc_id and text, so repeated rows count as one
-    document.  The first occurrence is that of the smallest doc_id (null last),
+    document and give the same rows here.  The first occurrence is that of the smallest doc_id (null last),
     then row, then position.
     """
     keyed = docs.select(_row_key().alias("row"), "doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    signed, path = written(keyed.mapInArrow(_signed, f"row long, doc_id {kind}, position long, line long, bands array<long>"), "lines", "zstd")
-    roots = components(similar_links(signed, docs)).select(F.col("node").alias("line"), "root")
+    signed, _ = written(keyed.mapInArrow(_signed, f"row long, doc_id {kind}, position long, line long, bands array<long>"), "lines", "zstd")
+    spark, before = docs.sparkSession, made()
+    links = similar_links(signed, docs)
+    scratch = [x for x in made() if x not in before]
+    roots = components(links).select(F.col("node").alias("line"), "root")
+    for x in scratch:
+        remove(spark, x)
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "position")
-    placed = signed.select("line", place.alias("place")).join(roots.hint("shuffle_hash"), "line", "left").select(F.coalesce("root", "line").alias("root"), "place")
-    placed, _ = written(placed, "placed", "zstd")
-    remove(docs.sparkSession, path)
-    first = placed.groupBy("root").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("root", "first")
-    return placed.join(first.hint("shuffle_hash"), "root").where("place <> first").select("place.row", "place.position").distinct()
+    lines = signed.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    lines, _ = written(lines.join(roots.hint("shuffle_hash"), "line", "left").select("line", F.coalesce("root", "line").alias("root"), "first", "n"), "firsts", "zstd")
+    groups, _ = written(lines.groupBy("root").agg(F.min("first").alias("top"), F.sum("n").alias("all"), F.count("*").alias("lines")).where("all > 1"), "roots")
+    n_all, n_lines = lines.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tops = _met(lines.select("line", "root", "n"), groups.select("root", "top", "lines"), "root", F.col("lines") > n_lines / FEW + 1).select("line", "top", "n")
+    tops, _ = written(tops, "tops", "zstd")
+    found = _met(signed.select("line", place.alias("place")), tops, "line", F.col("n") > n_all / FEW + 1)
+    return found.where("place <> top").select("place.row", "place.position")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
