@@ -22,6 +22,9 @@ INSTITUTIONS = ["Institute", "University", "School", "Vidyalaya", "College", "Ac
 EDUCATION_HEADERS = ["year", "degree", "certificate", "institute", "cgpa", "board", "passing", "percentage", "mark", "gpa", "institutions", "degrees"]
 ACADEMIC_WORDS = ["business", "systems", "science", "sciences", "engineering", "management", "administration", "arts", "commerce", "design", "law", "studies", "humanities", "social", "applied", "advanced"]
 
+# Characters that count as white space where values are trimmed.
+WHITE = "".join(map(chr, [0x20, 0x85, 0xA0, 0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, *range(0x09, 0x0E), *range(0x1C, 0x20), *range(0x2000, 0x200B)]))
+
 # Dates, countries, patterns.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 MONTH_NAMES = "(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?|sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"

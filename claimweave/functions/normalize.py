@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .constants import COUNTRIES, EMAIL, MONTH_NAMES, MONTHS, PRESENT
+from .constants import AS_OF, COUNTRIES, EMAIL, MONTH_NAMES, MONTHS, PRESENT, WHITE
 
 SUCCESS, PARTIAL, FAILED, NOT_APPLICABLE = "success", "partial", "failed", "not_applicable"
 
@@ -18,20 +18,36 @@ def _result(value: Column, status: str, applied: list[str] = (), note: Column |
     return F.struct(value.cast("string").alias("value"), F.lit(status).alias("status"), F.array(*map(F.lit, applied)).cast("array<string>").alias("applied"), note.cast("string").alias("note"))
 
 
+def strip(value: Column | str) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.btrim(value, F.lit(WHITE))
+
+
 def literal_map(pairs: dict) -> Column:
     return F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv))
 
 
 def month_number(name: Column) -> Column:
     """``01`` to ``12`` from a month's name or its first letters; ``01`` for anything else."""
-    return F.coalesce(literal_map({m: f"{i:02d}" for i, m in enumerate(MONTHS, 1)})[F.lower(F.substring(F.trim(name), 1, 3))], F.lit("01"))
+    return F.coalesce(literal_map({m: f"{i:02d}" for i, m in enumerate(MONTHS, 1)})[F.lower(F.substring(strip(name), 1, 3))], F.lit("01"))
+
+
+def _months(as_of: str) -> int:
+    return int(as_of[:4]) * 12 + int(as_of[5:7])
+
+
+def month_index(date: Column, as_of: str = AS_OF, bare_year_month: int = 1) -> Column:
+    """``year * 12 + month`` of ``YYYY-MM`` or ``YYYY``; the present and what cannot be read are ``as_of``."""
+    year, month = F.substring_index(date, "-", 1).try_cast("int"), F.get(F.split(date, "-"), F.lit(1))
+    m = F.when(month.isNull(), F.lit(bare_year_month)).otherwise(month.try_cast("int"))
+    return F.when(F.coalesce(date, F.lit("")).eqNullSafe("") | F.lower(date).isin(*PRESENT), F.lit(_months(as_of))).otherwise(F.coalesce(year * 12 + m, F.lit(_months(as_of))))
 
 
 def email_normalized(raw: Column) -> Column:
     """Lower-case, trimmed; of several in one value the first valid one."""
     whole = f"^{EMAIL}$"
-    clean = F.trim(raw)
-    first = F.get(F.filter(F.transform(F.split(clean, "[,;]+"), lambda p: F.lower(F.trim(p))), lambda p: p.rlike(whole)), F.lit(0))
+    clean = strip(raw)
+    first = F.get(F.filter(F.transform(F.split(clean, "[,;]+"), lambda p: F.lower(strip(p))), lambda p: p.rlike(whole)), F.lit(0))
     one = F.lower(clean)
     return (
         F.when(clean.rlike("[,;]") & first.isNotNull(), _result(first, SUCCESS, ["split_multiple_emails"], F.concat(F.lit("Multiple emails detected. Selected first valid email: "), first)))
@@ -59,7 +75,7 @@ def phone_normalized(raw: Column) -> Column:
 
 def date_normalized(raw: Column) -> Column:
     """``YYYY-MM``; a bare year becomes January, words for the present become null."""
-    t = F.trim(raw)
+    t = strip(raw)
     by_name = rf"(?i)^({MONTH_NAMES})\s+(\d{{4}})$"
     return (
         F.when(F.lower(t).isin(*PRESENT, "till date"), _result(F.lit(None), NOT_APPLICABLE, [], "end_date_is_present"))
@@ -73,7 +89,7 @@ def date_normalized(raw: Column) -> Column:
 
 def country_normalized(raw: Column) -> Column:
     """The two-letter code of a country's name."""
-    code = literal_map(COUNTRIES)[F.lower(F.trim(raw))]
+    code = literal_map(COUNTRIES)[F.lower(strip(raw))]
     return F.when(code.isNotNull(), _result(code, SUCCESS, ["iso3166_mapping"])).otherwise(_result(F.lit(None), FAILED, [], F.concat(F.lit("Country normalization failed for value: "), raw)))
 
 
@@ -86,10 +102,10 @@ def title_case(raw: Column) -> Column:
 
 def name_normalized(raw: Column) -> Column:
     """``Last, First`` turned round if the last name is one word, title case, single spaces."""
-    t = F.trim(raw)
-    last, first = F.trim(F.substring_index(t, ",", 1)), F.trim(F.regexp_replace(t, "^[^,]*,", ""))
+    t = strip(raw)
+    last, first = strip(F.substring_index(t, ",", 1)), strip(F.regexp_replace(t, "^[^,]*,", ""))
     turned = F.contains(t, F.lit(",")) & ~F.contains(last, F.lit(" "))
-    value = F.trim(F.regexp_replace(title_case(F.when(turned, F.concat(first, F.lit(" "), last)).otherwise(t)), r"\s+", " "))
+    value = strip(F.regexp_replace(title_case(F.when(turned, F.concat(first, F.lit(" "), last)).otherwise(t)), r"\s+", " "))
     rest = ["title_cased", "removed_internal_whitespace"]
     return F.when(value == "", _result(F.lit(None), FAILED, [], "Name is empty")).when(turned, _result(value, SUCCESS, ["swapped_last_first", *rest])).otherwise(_result(value, SUCCESS, rest))
 
@@ -126,7 +142,7 @@ def normalize_claims(claims: DataFrame, taxonomy: DataFrame | None = None) -> Da
 
     columns = claims.columns
     raw, field = F.col("raw_value"), F.col("field")
-    rows = claims.withColumn("_term", F.when(field == "skills", F.lower(F.trim(raw))))
+    rows = claims.withColumn("_term", F.when(field == "skills", F.lower(strip(raw))))
     rows = exact_match(rows, taxonomy, "_term") if taxonomy is not None else rows.withColumns({"_canonical": F.lit(None).cast("string")})
     skill = (
         F.when(F.col("_canonical").isNotNull(), _result(F.col("_canonical"), SUCCESS, ["taxonomy_exact_or_alias_match"]))

@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 from .constants import (
     ACADEMIC_WORDS, CITIES, COMPANY_WORDS, DEGREES, EDUCATION_HEADERS, EMAIL, INSTITUTIONS, MATCH_WEIGHT, MONTH_NAMES, NOT_NAMES, PHONES, PRESENT, SECTION_BODY, SECTIONS, TITLE_WORDS, URL_HINTS,
 )
-from .normalize import literal_map, month_number
+from .normalize import literal_map, month_index, month_number, strip
 
 FULL_DOCUMENT, CONTACT_BLOCK = "FULL_DOCUMENT", "CONTACT_BLOCK"
 
@@ -31,7 +31,7 @@ def clean_text(text: Column, compose: bool = False) -> Column:
     """Without control characters, each line trimmed, at most one blank line in a row; ``compose`` also applies NFC."""
     t = F.regexp_replace(text, r"[\p{C}&&[^\n\t]]", "")
     t = nfc(t) if compose else t
-    t = F.array_join(F.transform(F.split(t, "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", ""))), "\n")
+    t = F.array_join(F.transform(F.split(t, "\n", -1), lambda x: strip(F.regexp_replace(x, r"^\s+|\s+$", ""))), "\n")
     return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
@@ -41,11 +41,11 @@ def lines_of(text: Column) -> Column:
 
 def full_lines(text: Column) -> Column:
     """The trimmed lines that are not blank."""
-    return F.filter(F.transform(lines_of(text), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(lines_of(text), lambda x: strip(x)), lambda x: x != "")
 
 
 def _header(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.trim(line), ":+$", ""))
+    return strip(F.regexp_replace(strip(line), ":+$", ""))
 
 
 def is_header(line: Column) -> Column:
@@ -58,7 +58,7 @@ def is_header(line: Column) -> Column:
 def header_positions(text: Column) -> Column:
     """Line numbers (from 0) of the headings that something follows."""
     lines = lines_of(text)
-    last = F.array_max(F.transform(lines, lambda x, i: F.when(F.trim(x) != "", i)))
+    last = F.array_max(F.transform(lines, lambda x, i: F.when(strip(x) != "", i)))
     return F.filter(F.transform(lines, lambda x, i: F.when(is_header(x) & (i < last), i)), lambda i: i.isNotNull())
 
 
@@ -80,10 +80,15 @@ def sections(text: Column) -> Column:
     names = F.array_distinct(F.transform(parts, lambda p: p["name"]))
     pooled = F.transform(names, lambda n: F.struct(n.alias("name"), F.array_join(F.transform(F.filter(parts, lambda p: p["name"] == n), lambda p: p["body"]), "\n").alias("body")))
     whole = F.array(F.struct(F.lit(FULL_DOCUMENT).alias("name"), text.alias("body")))
-    block = F.array(F.struct(F.lit(CONTACT_BLOCK).alias("name"), F.array_join(F.slice(lines, 1, 15), "\n").alias("body")))
+    block = F.array(F.struct(F.lit(CONTACT_BLOCK).alias("name"), contact_block(text).alias("body")))
     return F.concat(block, F.when(F.size(at) == 0, whole).otherwise(pooled))
 
 
+def contact_block(text: Column) -> Column:
+    """The first 15 lines."""
+    return F.substring_index(text, "\n", 15)
+
+
 def section(found: Column, name: str) -> Column:
     """The body of a section by name, or null."""
     return F.get(F.filter(found, lambda s: s["name"] == name), F.lit(0))["body"]
@@ -100,7 +105,7 @@ def phones(text: Column) -> Column:
     """One phone for each line that has one: the first of four patterns whose match is no year or range of years."""
 
     def first(line: Column) -> Column:
-        found = [F.trim(F.regexp_extract(line, p, 0)) for p in PHONES]
+        found = [strip(F.regexp_extract(line, p, 0)) for p in PHONES]
         return F.coalesce(*(F.when((x != "") & ~x.rlike(r"^\d{4}\s*[\-–—]\s*\d{4}$") & ~x.rlike(r"^\d{4}$"), x) for x in found))
 
     return F.filter(F.transform(lines_of(text), first), lambda x: x.isNotNull())
@@ -108,7 +113,7 @@ def phones(text: Column) -> Column:
 
 def name(text: Column) -> Column:
     """The first of the top five lines that looks like a name: two to four capitalised words."""
-    top = F.transform(F.slice(lines_of(text), 1, 5), lambda x: F.trim(x))
+    top = F.transform(F.slice(lines_of(text), 1, 5), lambda x: strip(x))
 
     def fits(line: Column) -> Column:
         tokens = F.split(line, r"\s+")
@@ -137,7 +142,7 @@ def portfolio(text: Column) -> Column:
 def location(text: Column) -> Column:
     """``struct<city, region, country>`` of the first known city, or null."""
     pattern = r"(?i)\b(" + "|".join(CITIES) + r")\b(?:,\s*([a-zA-Z\s]{2,20}))?(?:,\s*India)?"
-    city, region = F.regexp_extract(text, pattern, 1), F.trim(F.regexp_extract(text, pattern, 2))
+    city, region = F.regexp_extract(text, pattern, 1), strip(F.regexp_extract(text, pattern, 2))
     known = literal_map({c.lower(): c for c in CITIES})[F.lower(city)]
     return F.when(city != "", F.struct(known.alias("city"), F.when((region != "") & ~F.lower(region).isin("india", "in"), region).alias("region"), F.lit("IN").alias("country")))
 
@@ -146,7 +151,7 @@ def location(text: Column) -> Column:
 
 
 def _tokens(parts: Column) -> Column:
-    return F.filter(F.transform(parts, lambda t: F.trim(t)), lambda t: F.length(t).between(2, 50) & ~t.rlike(r"^\d+$"))
+    return F.filter(F.transform(parts, lambda t: strip(t)), lambda t: F.length(t).between(2, 50) & ~t.rlike(r"^\d+$"))
 
 
 def section_skills(text: Column) -> Column:
@@ -191,7 +196,7 @@ def date_range(line: Column) -> Column:
         return F.concat(group(k, n + 1), F.lit("-"), month_number(group(k, n)))
 
     def made(k: int, start: Column, end: Column | None, present: bool) -> Column:
-        before = F.trim(F.regexp_replace(F.trim(group(k, 1)), r"[,|:\-]+$", ""))
+        before = strip(F.regexp_replace(strip(group(k, 1)), r"[,|:\-]+$", ""))
         end = F.lit(None).cast("string") if end is None else end
         return F.when(line.rlike(_RANGES[k]), F.struct(start.alias("start"), end.alias("end"), F.lit(present).alias("is_present"), F.when((before != "") & (F.length(before) < 50), before).alias("company")))
 
@@ -225,7 +230,8 @@ def with_roles(df: DataFrame, text: str, out: str, confidence: Column | None = N
 
     Going back from a dated line, its block begins after the last dated line or
     stop (a bullet, or a line whose first letter is small) and reaches to where
-    the next block begins.
+    the next block begins.  Roles that overlap another one are concurrent; a role
+    without dates counts as of the present month.
     """
     confidence = F.lit(SECTION_BODY) if confidence is None else confidence
     none = "struct<start:string,end:string,is_present:boolean,company:string>"
@@ -241,8 +247,12 @@ def with_roles(df: DataFrame, text: str, out: str, confidence: Column | None = N
     def rest(b: Column) -> Column:
         return F.filter(b["lines"], lambda x: ~x.eqNullSafe(b["line"]) & ~x.eqNullSafe(b["title"]))
 
+    def overlaps(roles: Column, r: Column, i: Column) -> Column:
+        met = F.transform(roles, lambda x, j: (i != j) & (month_index(r["start"]) <= month_index(x["end"])) & (month_index(x["start"]) <= month_index(r["end"])))
+        return F.exists(met, lambda x: x)
+
     keep = ["lines", "dates", "line"]
-    loose = F.transform(F.split(text, "\n\n"), lambda p: F.struct(F.filter(F.transform(F.split(p, "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"), F.lit(None).cast(none).alias("dates"), F.lit(None).cast("string").alias("line")))
+    loose = F.transform(F.split(text, "\n\n"), lambda p: F.struct(F.filter(F.transform(F.split(p, "\n"), lambda x: strip(x)), lambda x: x != "").alias("lines"), F.lit(None).cast(none).alias("dates"), F.lit(None).cast("string").alias("line")))
     staged = _staged(df, [
         ("_lines", full_lines(F.col(text))),
         ("_dates", F.transform("_lines", date_range)),
@@ -258,6 +268,7 @@ def with_roles(df: DataFrame, text: str, out: str, confidence: Column | None = N
         (out, lambda: F.transform(F.filter("_blocks", lambda b: b["company"].isNotNull() | b["title"].isNotNull()), lambda b: F.struct(
             b["company"].alias("company"), b["title"].alias("title"), b["dates"]["start"].alias("start"), b["dates"]["end"].alias("end"), F.when(F.size(b["said"]) > 0, F.array_join(b["said"], "\n")).alias("summary"),
             F.lit(False).alias("concurrent"), F.array(F.lit("resume")).alias("sources"), confidence.alias("confidence")))),
+        (out, lambda: F.transform(out, lambda r, i: r.withField("concurrent", overlaps(F.col(out), r, i)))),
     ])
     return staged.drop("_lines", "_dates", "_at", "_stops", "_walls", "_first", "_blocks")
 
@@ -323,14 +334,14 @@ def with_education(df: DataFrame, text: str, out: str, confidence: Column | None
     def degree(b: Column) -> Column:
         start, stop = F.instr(F.lower(b["d"]), F.lower(b["word"])), F.instr(b["d"], F.coalesce(b["named"], F.lit("")))
         end = F.when(b["named"].isNotNull() & (stop > start), stop).otherwise(F.length(b["d"]) + 1)
-        return F.trim(F.regexp_replace(F.trim(F.substr(b["d"], start, end - start)), r"[,|:\-]+$", ""))
+        return strip(F.regexp_replace(strip(F.substr(b["d"], start, end - start)), r"[,|:\-]+$", ""))
 
     def field(b: Column) -> Column:
-        tail = F.trim(F.regexp_replace(F.trim(F.substr(b["degree"], F.length(b["word"]) + 1)), r"(?i)^(?:in|of|-)?\s*", ""))
-        return F.trim(F.regexp_replace(tail, r"^[()]+|[()]+$", ""))
+        tail = strip(F.regexp_replace(strip(F.substr(b["degree"], F.length(b["word"]) + 1)), r"(?i)^(?:in|of|-)?\s*", ""))
+        return strip(F.regexp_replace(tail, r"^[()]+|[()]+$", ""))
 
     keep = ["lines", "year"]
-    loose = F.transform(F.split(text, "\n\n"), lambda p: F.struct(F.filter(F.transform(F.split(p, "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"), F.lit(None).cast("int").alias("year")))
+    loose = F.transform(F.split(text, "\n\n"), lambda p: F.struct(F.filter(F.transform(F.split(p, "\n"), lambda x: strip(x)), lambda x: x != "").alias("lines"), F.lit(None).cast("int").alias("year")))
     staged = _staged(df, [
         ("_lines", full_lines(F.col(text))),
         ("_years", F.transform("_lines", end_year)),

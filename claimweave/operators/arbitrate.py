@@ -9,19 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import AS_OF, CONTACT_WEIGHTS, CORROBORATION, MARGIN, PRESENT, URL_FIELDS, WEIGHTS, YEARS_CONFIDENCE
-from ..functions.normalize import literal_map, title_case
+from ..functions.constants import CONTACT_WEIGHTS, CORROBORATION, MARGIN, URL_FIELDS, WEIGHTS, YEARS_CONFIDENCE
+from ..functions.normalize import literal_map, month_index, strip, title_case
 
 
 def equality_key(field: Column, value: Column) -> Column:
     """Claims of a field are equal if their keys are; null equals nothing."""
-    lower = F.lower(F.trim(value))
-    return F.when(field.isin("email", "full_name"), lower).when(field == "phone", F.trim(value)).when(field.isin(*URL_FIELDS), F.rtrim(lower, F.lit("/"))).otherwise(value)
+    lower = F.lower(strip(value))
+    return F.when(field.isin("email", "full_name"), lower).when(field == "phone", strip(value)).when(field.isin(*URL_FIELDS), F.rtrim(lower, F.lit("/"))).otherwise(value)
 
 
 def union_key(field: Column, value: Column) -> Column:
-    lower = F.rtrim(F.trim(F.lower(value)), F.lit("/"))
-    return F.when(field.isin("email", *URL_FIELDS), lower).otherwise(F.trim(value))
+    lower = F.rtrim(strip(F.lower(value)), F.lit("/"))
+    return F.when(field.isin("email", *URL_FIELDS), lower).otherwise(strip(value))
 
 
 def boosted(confidence: Column, equal: Column) -> Column:
@@ -84,7 +84,7 @@ def highest_confidence(claims: DataFrame) -> DataFrame:
 
 def union_skills(claims: DataFrame) -> DataFrame:
     """``entity_id, name, confidence, sources, rank``: skills pooled by name, with a bonus for more than one source."""
-    name = F.trim(F.when(F.col("match_type") == "unverified", title_case(F.col("raw_value"))).otherwise(F.col("canonical_name")))
+    name = strip(F.when(F.col("match_type") == "unverified", title_case(F.col("raw_value"))).otherwise(F.col("canonical_name")))
     rows = claims.where(F.col("field") == "skills").withColumn("name", name).where("name <> ''")
     groups = rows.groupBy("entity_id", "name").agg(F.max("confidence").alias("c"), F.array_sort(F.collect_set("source")).alias("sources"), F.min("ord").alias("first_ord"))
     confidence = F.bround(F.when(F.size("sources") > 1, F.least(F.lit(1.0), F.col("c") + F.lit(CORROBORATION))).otherwise(F.col("c")), 3)
@@ -92,17 +92,6 @@ def union_skills(claims: DataFrame) -> DataFrame:
     return groups.withColumn("rank", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc("confidence"), "first_ord"))).select("entity_id", "name", "confidence", "sources", "rank")
 
 
-def _months(as_of: str) -> int:
-    return int(as_of[:4]) * 12 + int(as_of[5:7])
-
-
-def month_index(date: Column, as_of: str = AS_OF, bare_year_month: int = 1) -> Column:
-    """``year * 12 + month`` of ``YYYY-MM`` or ``YYYY``; the present and what cannot be read are ``as_of``."""
-    year, month = F.substring_index(date, "-", 1).try_cast("int"), F.get(F.split(date, "-"), F.lit(1))
-    m = F.when(month.isNull(), F.lit(bare_year_month)).otherwise(month.try_cast("int"))
-    return F.when(F.coalesce(date, F.lit("")).eqNullSafe("") | F.lower(date).isin(*PRESENT), F.lit(_months(as_of))).otherwise(F.coalesce(year * 12 + m, F.lit(_months(as_of))))
-
-
 def years_of_experience(intervals: DataFrame) -> DataFrame:
     """``entity_id, years, total_months, concurrent_roles`` from inclusive month intervals ``entity_id, s, e, ord``.
 
@@ -119,17 +108,20 @@ def years_of_experience(intervals: DataFrame) -> DataFrame:
 def concurrent(intervals: DataFrame) -> DataFrame:
     """``intervals`` (entity_id, s, e, ord) with ``concurrent``: whether another interval of the entity overlaps.
 
-    For ordered intervals it is enough to look at the furthest end before and
-    the next start; inverted intervals are compared as they stand by a search in
-    the entity's own list.
+    Intervals are compared as they stand, inverted ones too.  Every interval
+    enters an ordered window at its start and asks at its end for the furthest
+    end among those that have started, its own left out: for that the two
+    furthest are carried along.  One sort, whatever the number of intervals.
     """
-    w = Window.partitionBy("entity_id").orderBy("s", "ord")
-    before, after = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lead("s").over(w)
-    clean = F.min(F.col("e") >= F.col("s")).over(Window.partitionBy("entity_id"))
-    rows = intervals.withColumns({"_b": before, "_a": after, "_ok": clean, "_all": F.when(~clean, F.collect_list(F.struct("s", "e", "ord")).over(Window.partitionBy("entity_id")))})
-    fast = F.coalesce(F.col("s") <= F.col("_b"), F.lit(False)) | F.coalesce(F.col("_a") <= F.col("e"), F.lit(False))
-    slow = F.exists("_all", lambda x: (x["ord"] != F.col("ord")) & (F.col("s") <= x["e"]) & (x["s"] <= F.col("e")))
-    return rows.withColumn("concurrent", F.when(F.col("_ok"), fast).otherwise(slow)).drop("_b", "_a", "_ok", "_all")
+    kept = F.struct(*intervals.columns).alias("_i")
+    marks = intervals.select("entity_id", kept, F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(0).alias("ask")), F.struct(F.col("e").alias("t"), F.lit(1).alias("ask")))).alias("_m"))
+    marks = marks.select("entity_id", "_i", "_m.t", "_m.ask", F.when(F.col("_m.ask") == 0, F.struct(F.col("_i.e").alias("e"), F.col("_i.ord").alias("ord"))).alias("_end"))
+    w = Window.partitionBy("entity_id").orderBy("t", "ask", "_i.ord")
+    furthest, before = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marks = marks.withColumns({"_first": furthest, "_low": F.when((F.col("ask") == 0) & before.isNotNull(), F.least("_end", before))})
+    marks = marks.withColumn("_second", F.max("_low").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("ask = 1")
+    other = F.when(F.col("_first.ord") == F.col("_i.ord"), F.col("_second.e")).otherwise(F.col("_first.e"))
+    return marks.select("_i.*", F.coalesce(other >= F.col("_i.s"), F.lit(False)).alias("concurrent"))
 
 
 def overall_confidence(scores: DataFrame, count_contact_weights: bool = False) -> DataFrame:

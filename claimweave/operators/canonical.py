@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import AS_OF, FIELDS, SINGLE_FIELDS, UNION_FIELDS
+from ..functions.normalize import strip
 from ..functions.schema import CANONICAL, EDUCATION, ROLE, SKILL
 from . import arbitrate as A
 from .roles import experience_provenance, merge_roles
@@ -14,7 +15,7 @@ from .roles import experience_provenance, merge_roles
 def candidate_id(email: Column, name: Column, entity: Column) -> Column:
     """SHA-256 of the first e-mail, else of the name, else of the entity's id."""
     def filled(x: Column) -> Column:
-        return F.when(F.trim(x) != "", F.lower(F.trim(x)))
+        return F.when(strip(x) != "", F.lower(strip(x)))
 
     return F.sha2(F.coalesce(filled(email), filled(name), F.concat(F.lit("entity:"), entity)), 256)
 
@@ -30,7 +31,7 @@ def arbitrated(claims: DataFrame, as_of: str = AS_OF, count_contact_weights: boo
     ``claims`` are normalized.  They are dealt by entity once; every strategy
     groups within that.
     """
-    rows = A.corroborate(claims.repartition("entity_id")).persist()  # read by every strategy; spills to disk
+    rows = A.corroborate(claims.repartition("entity_id"))  # every strategy reads this one shuffle
     entities = rows.select("entity_id").distinct()
     union = A.union_fields(rows.where(F.col("field").isin(*UNION_FIELDS)))
     single = A.highest_confidence(rows.where(F.col("field").isin(*SINGLE_FIELDS)))
@@ -71,7 +72,7 @@ def arbitrated(claims: DataFrame, as_of: str = AS_OF, count_contact_weights: boo
             F.coalesce("resolution_strategy", "s").alias("resolution_strategy"), F.coalesce("conflict_detected", F.lit(False)).alias("conflict_detected"), F.coalesce("transformation_applied", nothing).alias("transformation_applied"), F.coalesce("all_claims", F.lit("[]")).alias("all_claims"),
         ).alias("record"),
     )
-    filled = F.when(F.col("record.field").isin("skills", "experience", "education", *UNION_FIELDS), F.coalesce(F.col("record.winning_value"), F.lit("[]")) != "[]").otherwise(F.coalesce(F.trim("record.winning_value"), F.lit("")) != "")
+    filled = F.when(F.col("record.field").isin("skills", "experience", "education", *UNION_FIELDS), F.coalesce(F.col("record.winning_value"), F.lit("[]")) != "[]").otherwise(F.coalesce(strip("record.winning_value"), F.lit("")) != "")
     scores = provenance.select("entity_id", F.col("record.field").alias("field"), F.col("record.winning_confidence").alias("confidence"), filled.alias("populated"))
     return joined.join(A.overall_confidence(scores, count_contact_weights), "entity_id", "left"), provenance
 
@@ -87,7 +88,7 @@ def canonical(claims: DataFrame, timestamp: str = f"{AS_OF}-20T00:00:00Z", as_of
     nothing = F.array().cast("array<string>")
     place = F.from_json("location", "city string, region string, country string")
     first = F.get("email", F.lit(0))
-    no_mail = F.when(first.isNull(), F.when(F.coalesce(F.trim("full_name"), F.lit("")) != "", "candidate_id derived from name").otherwise("candidate_id derived from entity id"))
+    no_mail = F.when(first.isNull(), F.when(F.coalesce(strip("full_name"), F.lit("")) != "", "candidate_id derived from name").otherwise("candidate_id derived from entity id"))
     rows = values.join(trail, "entity_id", "left").join(files, "entity_id", "left").select(
         "entity_id", candidate_id(first, F.col("full_name"), F.col("entity_id")).alias("candidate_id"), "full_name", F.coalesce("email", nothing).alias("emails"), F.coalesce("phone", nothing).alias("phones"),
         F.coalesce(place, F.from_json(F.lit("{}"), "city string, region string, country string")).alias("location"),

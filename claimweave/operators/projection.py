@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, NumericType, StringType, StructType
 
-from ..functions.normalize import country_normalized, phone_normalized, title_case
+from ..functions.normalize import country_normalized, phone_normalized, strip, title_case
 
 TYPES = ("string", "string[]", "number", "boolean", "object", "object[]")
 NORMALIZERS = ("lowercase", "E164", "canonical", "iso3166")
@@ -98,7 +98,7 @@ def _normalized(value: Column, kind: DataType, how: str, taxonomy: dict | None)
         for key, entry in (taxonomy or {}).items():
             for term in (key, *(a.lower() for a in entry.get("aliases") or [])):
                 terms.setdefault(term, entry["canonical"])
-        known = F.create_map(*(F.lit(x) for kv in terms.items() for x in kv))[F.lower(F.trim(text))] if terms else F.lit(None).cast("string")
+        known = F.create_map(*(F.lit(x) for kv in terms.items() for x in kv))[F.lower(strip(text))] if terms else F.lit(None).cast("string")
         return F.coalesce(known, title_case(text))
     return value
 
@@ -153,13 +153,52 @@ def referenced_fields(fields: list[dict]) -> set[str]:
     return out
 
 
-def project(profiles: DataFrame, config: ProjectionConfig, taxonomy: dict | None = None) -> DataFrame:
+#: What a service or a command line may offer as a start.
+SAMPLES = {
+    "default": ProjectionConfig(),
+    "custom": ProjectionConfig([
+        {"path": "full_name", "type": "string", "required": True}, {"path": "primary_email", "from": "emails[0]", "type": "string", "required": True}, {"path": "phone", "from": "phones[0]", "type": "string", "normalize": "E164"},
+        {"path": "skills", "from": "skills[].name", "type": "string[]", "normalize": "canonical"}, {"path": "years_experience", "type": "number", "required": False},
+        {"path": "current_company", "from": "experience[0].company", "type": "string", "required": False}, {"path": "linkedin", "from": "links.linkedin", "type": "string", "required": False},
+    ], True, False),
+}
+
+
+def _found(schema: StructType, f: dict) -> tuple[Column, DataType]:
+    """The value that a field of a config refers to, and its type."""
+    head, *rest = (f.get("from") or f["path"]).split(".")
+    root, bracket, tail = head.partition("[")
+    if root not in schema.names:
+        return F.lit(None).cast("string"), StringType()
+    return resolve(F.col(root), schema[root].dataType, ([bracket + tail] if bracket else []) + rest)
+
+
+def _gap(f: dict) -> str:
+    return f"{'Required field' if f.get('required') else 'Field'} is missing: {f['path']}"
+
+
+def missing(profiles: DataFrame, config: ProjectionConfig) -> Column:
+    """The first thing that keeps a row from being projected, or null: a required value that is missing, or with ``on_missing`` error any value."""
+    asked = [f for f in config.fields if f.get("path") and (f.get("required") or config.on_missing == "error")]
+    return F.coalesce(F.lit(None).cast("string"), *(F.when(_found(profiles.schema, f)[0].isNull(), F.lit(_gap(f))) for f in asked))
+
+
+def require(profiles: DataFrame, config: ProjectionConfig) -> None:
+    """Raise ``ProjectionError`` if a row cannot be projected."""
+    if bad := profiles.select("entity_id", missing(profiles, config).alias("why")).where("why is not null").first():
+        raise ProjectionError(f"{bad.why} ({bad.entity_id})")
+
+
+def project(profiles: DataFrame, config: ProjectionConfig, taxonomy: dict | None = None, strict: bool = True) -> DataFrame:
     """``profiles`` (with entity_id) in the shape that a config asks for.
 
     A missing value follows ``on_missing``: null, ``error`` (as for required
     fields) raises when the row is computed, ``omit`` drops the key from that
-    row's JSON (see ``project_json``).
+    row's JSON (see ``project_json``).  Without ``strict`` nothing raises; see
+    ``missing`` for the rows that would have.
     """
+    if config.on_missing not in MISSING:
+        raise ProjectionError(f"on_missing must be one of {', '.join(MISSING)}")
     schema = profiles.schema
     columns: dict[str, Column] = {}
     if not config.fields:
@@ -168,15 +207,9 @@ def project(profiles: DataFrame, config: ProjectionConfig, taxonomy: dict | None
         path = f.get("path")
         if not path:
             continue
-        at = f.get("from") or path
-        head, *rest = at.split(".")
-        root, bracket, tail = head.partition("[")
-        if root in schema.names:
-            value, kind = resolve(F.col(root), schema[root].dataType, ([bracket + tail] if bracket else []) + rest)
-        else:
-            value, kind = F.lit(None).cast("string"), StringType()
-        if f.get("required") or config.on_missing == "error":
-            value = F.when(value.isNull(), F.raise_error(F.lit(f"{'Required field' if f.get('required') else 'Field'} is missing: {path}")).cast(kind)).otherwise(value)
+        value, kind = _found(schema, f)
+        if strict and (f.get("required") or config.on_missing == "error"):
+            value = F.when(value.isNull(), F.raise_error(F.lit(_gap(f))).cast(kind)).otherwise(value)
         if f.get("normalize"):
             value = _normalized(value, kind, f["normalize"], taxonomy)
         columns[path] = coerce(value, kind, f.get("type") or "string")
@@ -198,7 +231,11 @@ def project(profiles: DataFrame, config: ProjectionConfig, taxonomy: dict | None
 def project_json(profiles: DataFrame, config: ProjectionConfig, taxonomy: dict | None = None) -> DataFrame:
     """``entity_id, output``: the projection as JSON; with ``on_missing`` omit, null keys are left out row by row."""
     out = project(profiles, config, taxonomy)
-    ignore = "true" if config.on_missing == "omit" else "false"
-    return out.select("entity_id", F.to_json(F.struct(*(F.col(f"`{c}`") for c in out.columns if c != "entity_id")), {"ignoreNullFields": ignore}).alias("output"))
+    return out.select("entity_id", row_json([c for c in out.columns if c != "entity_id"], config.on_missing == "omit").alias("output"))
+
+
+def row_json(columns: list[str], omit: bool = False) -> Column:
+    """The columns of a row as a JSON object, null ones too unless ``omit``."""
+    return F.to_json(F.struct(*(F.col(f"`{c}`") for c in columns)), {"ignoreNullFields": "true" if omit else "false"})
 
 

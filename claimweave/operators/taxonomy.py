@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.constants import FUZZY_ABOVE
-
-#: Most terms of a taxonomy that are sent to every task; a larger one is joined by shuffle.
-BROADCAST_TERMS = 200_000
+from ..functions.normalize import strip
 
 
 def load(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -39,10 +37,12 @@ def best_terms(taxonomy: DataFrame) -> DataFrame:
 
 
 def exact_match(rows: DataFrame, taxonomy: DataFrame, term: str) -> DataFrame:
-    """``rows`` with ``_canonical`` and ``_is_alias`` by equality of the column ``term`` with a term."""
+    """``rows`` with ``_canonical`` and ``_is_alias`` by equality of the column ``term`` with a term.
+
+    Spark sends the terms to every task where their size, known by then, allows it.
+    """
     terms = best_terms(taxonomy).select("_t", F.col("canonical").alias("_canonical"), F.col("is_alias").alias("_is_alias"))
-    small = taxonomy.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    return rows.join(F.broadcast(terms) if small else terms, F.col(term) == F.col("_t"), "left").drop("_t")
+    return rows.join(terms, F.col(term) == F.col("_t"), "left").drop("_t")
 
 
 def _indel(a: str, b: str) -> float:
@@ -84,7 +84,7 @@ def fuzzy_match(tokens: DataFrame, taxonomy: DataFrame, token: str = "token") ->
 
 def match_tokens(tokens: DataFrame, taxonomy: DataFrame, fuzzy: bool = True) -> DataFrame:
     """``tokens`` (with a column token) with ``canonical_name, match_type, fuzzy_score``: exact and alias first, then fuzzy, else unverified."""
-    rows = exact_match(tokens.withColumn("_term", F.lower(F.trim("token"))), taxonomy, "_term")
+    rows = exact_match(tokens.withColumn("_term", F.lower(strip("token"))), taxonomy, "_term")
     if fuzzy:
         rest = rows.where(F.col("_canonical").isNull()).select("_term").distinct()
         found = fuzzy_match(rest, taxonomy, "_term").select(F.col("_term").alias("_f"), F.col("canonical").alias("_fc"), F.col("fuzzy_score").alias("_fs"))

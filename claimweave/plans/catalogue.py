@@ -5,12 +5,14 @@ Claims are derived from the driver's tables in the same way on both sides.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions import text as T
-from ..functions.constants import CITIES, FIELD_CONFIDENCE
+from ..functions.constants import CITIES, FIELD_CONFIDENCE, WHITE
 from ..operators import arbitrate as A
 from ..operators import canonical as C
 from ..operators import projection as P
@@ -28,7 +30,8 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql
+            # SQL's own trim takes blanks only; name the characters.
+            SQL[f.__name__] = re.sub(r"\btrim\(([\w.]+)\)", lambda m: f"trim({m[1]}, '{WHITE}')", sql)
         return f
 
     return add
@@ -184,7 +187,7 @@ def _flat(rows: DataFrame, key: str, raw: str, found) -> DataFrame:
     return n.select(key, raw, F.col("_n.value").alias("value"), F.col("_n.status").alias("status"))
 
 
-_MAILS = "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN ' ' || replace(c_name, '#', '.') || '@Example.COM ' WHEN 1 THEN 'bad; ' || replace(c_name, '#', '.') || '@x.org' WHEN 2 THEN c_name ELSE 'a,b' END AS raw FROM customer"
+_MAILS = "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN chr(9) || ' ' || replace(c_name, '#', '.') || '@Example.COM' || chr(10) WHEN 1 THEN 'bad; ' || replace(c_name, '#', '.') || '@x.org' WHEN 2 THEN c_name ELSE 'a,b' END AS raw FROM customer"
 
 
 @query(f"""WITH r AS ({_MAILS}), p AS (SELECT *, regexp_full_match(lower(trim(raw)), '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{{2,}}') AS ok,
@@ -193,7 +196,7 @@ SELECT c_custkey, raw, CASE WHEN regexp_matches(raw, '[,;]') THEN first WHEN ok
 def norm_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mail addresses."""
     k, name = F.col("c_custkey"), F.replace(F.col("c_name"), F.lit("#"), F.lit("."))
-    raw = F.when(k % 4 == 0, F.concat(F.lit(" "), name, F.lit("@Example.COM "))).when(k % 4 == 1, F.concat(F.lit("bad; "), name, F.lit("@x.org"))).when(k % 4 == 2, F.col("c_name")).otherwise("a,b")
+    raw = F.when(k % 4 == 0, F.concat(F.lit("\t "), name, F.lit("@Example.COM\n"))).when(k % 4 == 1, F.concat(F.lit("bad; "), name, F.lit("@x.org"))).when(k % 4 == 2, F.col("c_name")).otherwise("a,b")
     return _flat(_read(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw")), "c_custkey", "raw", N.email_normalized)
 
 
@@ -248,7 +251,7 @@ def _taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p.p_partkey, CASE WHEN k.key IS NOT NULL THEN 'exact' ELSE 'other' END AS match FROM part p LEFT JOIN k ON lower(trim(p.p_name)) = k.key""")
 def skill_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens found by a taxonomy key (X12, first half)."""
-    rows = X.exact_match(_read(spark, sf_dir, "part").select("p_partkey", F.lower(F.trim("p_name")).alias("t")), _taxonomy(spark, sf_dir).where("not is_alias"), "t")
+    rows = X.exact_match(_read(spark, sf_dir, "part").select("p_partkey", F.lower(N.strip("p_name")).alias("t")), _taxonomy(spark, sf_dir).where("not is_alias"), "t")
     return rows.select("p_partkey", F.when(F.col("_canonical").isNotNull(), "exact").otherwise("other").alias("match"))
 
 
@@ -288,13 +291,13 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, unnest(regexp_extract_all(t, '[a-zA-Z0-9._%+\\-]+@[a-zA-Z0-9.\\-]+\\.[a-zA-Z]{2,}')) AS email FROM b""")
 def contact_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E-mail addresses in the first 15 lines."""
-    return _docs(spark, sf_dir).select("doc_id", F.explode(T.emails(T.section(T.sections(F.col("text")), T.CONTACT_BLOCK))).alias("email"))
+    return _docs(spark, sf_dir).select("doc_id", F.explode(T.emails(T.contact_block(F.col("text")))).alias("email"))
 
 
 @query()
 def contact_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One phone for each line of the first 15."""
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(T.phones(T.section(T.sections(F.col("text")), T.CONTACT_BLOCK))).alias("n", "phone"))
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(T.phones(T.contact_block(F.col("text")))).alias("n", "phone"))
 
 
 @query("""SELECT page_id, url, unnest(regexp_extract_all(url, '(?i)https?://[\\w\\-\\.]+\\.[a-z]{2,}')) AS portfolio FROM pages WHERE NOT regexp_matches(url, '(?i)://(linkedin|github)')""")

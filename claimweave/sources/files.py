@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
 from ..functions.constants import COLUMN_FIELD, FIELD_CONFIDENCE, NULL_TOKENS, OTHER_CONFIDENCE
-from ..functions.normalize import literal_map
+from ..functions.normalize import literal_map, strip
 from ..functions.schema import CLAIM
 
 _MIME = {
@@ -29,16 +29,29 @@ _OCR_WARNING = "OCR is not available: no text was extracted from the scanned PDF
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path, length, content`` of files or folders; files without bytes too, which Spark's reader leaves out."""
+    """``path, length, content`` of files or folders; files without bytes too, which Spark's reader leaves out.
+
+    Paths that do not exist give no row (see ``absent``).
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    empty = []
+    empty, there = [], []
     for p in paths:
         where = jvm.org.apache.hadoop.fs.Path(p)
-        for status in where.getFileSystem(conf).listStatus(where):
-            if status.isFile() and not status.getLen():
-                empty.append((status.getPath().toString(), 0, bytearray()))
-    found = spark.read.format("binaryFile").load(list(paths)).select("path", "length", "content")
-    return found.unionByName(spark.createDataFrame(empty, "path string, length bigint, content binary")) if empty else found
+        store = where.getFileSystem(conf)
+        if store.exists(where):
+            there.append(p)
+            for status in store.listStatus(where):
+                if status.isFile() and not status.getLen():
+                    empty.append((status.getPath().toString(), 0, bytearray()))
+    found = spark.createDataFrame(empty, "path string, length bigint, content binary")
+    return spark.read.format("binaryFile").load(there).select("path", "length", "content").unionByName(found) if there else found
+
+
+def absent(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``file_path`` of the requested paths that do not exist."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = [(p, jvm.org.apache.hadoop.fs.Path(p)) for p in paths]
+    return spark.createDataFrame([(p,) for p, w in where if not w.getFileSystem(conf).exists(w)], "file_path string")
 
 
 def mime_type(content: Column, extension: Column) -> Column:
@@ -79,22 +92,23 @@ def docx_text(content: pd.Series) -> pd.Series:
     return content.map(_docx_text)
 
 
-def detect(files: DataFrame, pdf_head: Column | None = None) -> DataFrame:
+def detect(files: DataFrame, pdf_head: Column | None = None, content: bool = False) -> DataFrame:
     """Metadata of each file: type, readability, size and a warning.
 
     ``pdf_head`` is the text of a PDF's first three pages, if a reader for PDF
     is at hand; under 100 characters the PDF counts as scanned.  Without one,
-    PDFs count as text.
+    PDFs count as text.  With ``content`` the bytes stay beside their metadata, so
+    that readers need no join to get at them.
     """
     name = F.element_at(F.split("path", "/"), -1)
     extension = F.lower(F.when(F.contains(name, F.lit(".")), F.element_at(F.split(name, r"\."), -1)).otherwise(""))
     rows = files.withColumns({"file_name": name, "extension": extension}).withColumn("mime_type", mime_type(F.col("content"), F.col("extension")))
     kind, ext = F.col("mime_type"), F.col("extension")
-    first = F.regexp_extract(decoded(F.substring("content", 1, 65536)), r"^[^\r\n]*", 0)
-    headers = F.transform(F.split(first, ","), lambda h: F.regexp_replace(F.lower(F.trim(h)), " ", "_"))
+    first = F.regexp_extract(F.substring_index(decoded(F.col("content")), "\n", 1), r"^[^\r\n]*", 0)
+    headers = F.transform(F.split(first, ","), lambda h: F.regexp_replace(F.lower(strip(h)), " ", "_"))
     known = F.arrays_overlap(headers, F.array(*map(F.lit, COLUMN_FIELD)))
     is_csv, is_pdf, is_docx = (kind == _MIME["csv"]) | (ext == "csv"), (kind == _MIME["pdf"]) | (ext == "pdf"), (kind == _MIME["docx"]) | (ext == "docx")
-    scanned = F.length(F.trim(pdf_head)) < 100 if pdf_head is not None else F.lit(False)
+    scanned = F.length(strip(pdf_head)) < 100 if pdf_head is not None else F.lit(False)
     image = kind.startswith("image/")
     empty = F.col("length") == 0
     bad_docx = ~is_csv & ~is_pdf & is_docx & ~opens_as_docx(F.col("content"))
@@ -104,12 +118,11 @@ def detect(files: DataFrame, pdf_head: Column | None = None) -> DataFrame:
         .when(bad_docx, "Could not open DOCX").when(is_docx, F.lit(None)).when(image, "Raw image file. Convert to PDF first").otherwise("Unsupported file type")
     )
     readable = ~empty & (is_csv | is_pdf | (is_docx & ~bad_docx))
-    return rows.select(F.col("path").alias("file_path"), "file_name", "extension", "mime_type", detected.alias("detected_type"), readable.alias("readable"), F.col("length").alias("file_size_bytes"), warning.alias("warning"))
+    return rows.select(F.col("path").alias("file_path"), "file_name", "extension", "mime_type", detected.alias("detected_type"), readable.alias("readable"), F.col("length").alias("file_size_bytes"), warning.alias("warning"), *(["content"] if content else []))
 
 
-def missing_files(wanted: DataFrame, files: DataFrame) -> DataFrame:
-    """Metadata of requested paths that no file has."""
-    gone = wanted.join(files.select(F.col("path").alias("file_path")), "file_path", "left_anti")
+def missing_files(gone: DataFrame) -> DataFrame:
+    """Metadata of requested paths that do not exist (``absent``)."""
     return gone.select("file_path", F.element_at(F.split("file_path", "/"), -1).alias("file_name"), F.lit("").alias("extension"), F.lit("application/octet-stream").alias("mime_type"), F.lit("unknown").alias("detected_type"), F.lit(False).alias("readable"), F.lit(0).cast("bigint").alias("file_size_bytes"), F.lit("File not found").alias("warning"))
 
 
@@ -148,8 +161,8 @@ def csv_claims(records: DataFrame, entity: Column | None = None) -> DataFrame:
     good = records.where(F.col("row").isNotNull())
     cells = good.select("source", "record", "header", "row", F.posexplode(F.arrays_zip("header", "row")).alias("pos", "cell"))
     field = literal_map(COLUMN_FIELD)[F.col("cell.header")]
-    value = F.trim("cell.row")
-    mail = F.lower(F.trim(F.get(F.filter(F.transform(F.arrays_zip("header", "row"), lambda x: F.when(x["header"] == "email", x["row"])), lambda x: x.isNotNull()), F.lit(0))))
+    value = strip("cell.row")
+    mail = F.lower(strip(F.get(F.filter(F.transform(F.arrays_zip("header", "row"), lambda x: F.when(x["header"] == "email", x["row"])), lambda x: x.isNotNull()), F.lit(0))))
     who = F.coalesce(F.when(mail != "", mail), F.concat_ws("#", "source", "record")) if entity is None else entity
     rows = cells.select(who.alias("entity_id"), (F.col("record") * 1000 + F.col("pos")).alias("ord"), field.alias("field"), value.alias("raw_value"), "source")
     return as_claims(rows.where(F.col("field").isNotNull() & kept_value(F.col("raw_value"))).withColumn("confidence", field_confidence(F.col("field"))), "structured", "direct_field", "structured_field")
@@ -157,7 +170,7 @@ def csv_claims(records: DataFrame, entity: Column | None = None) -> DataFrame:
 
 def kept_value(value: Column) -> Column:
     """Whether a cell says anything."""
-    return (F.trim(value) != "") & ~F.lower(F.trim(value)).isin(*NULL_TOKENS)
+    return (strip(value) != "") & ~F.lower(strip(value)).isin(*NULL_TOKENS)
 
 
 def field_confidence(field: Column) -> Column:
@@ -176,13 +189,13 @@ def as_claims(rows: DataFrame, source_type: str, method: str | Column, position:
     return rows.select(*out)
 
 
-def document_text(files: DataFrame, types: DataFrame, pdf_text: Callable[[Column], Column] | None = None, ocr: Callable[[Column], Column] | None = None) -> DataFrame:
-    """``source, text, warning`` of readable documents.
+def document_text(detected: DataFrame, pdf_text: Callable[[Column], Column] | None = None, ocr: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``source, text, warning`` of readable documents, from ``detect`` with their content.
 
     ``pdf_text`` and ``ocr`` turn bytes into text where such readers are at
     hand; without them PDFs give empty text and a warning.
     """
-    rows = files.join(types.where("readable and detected_type in ('pdf', 'image_pdf', 'docx')"), files["path"] == types["file_path"])
+    rows = detected.where("readable and detected_type in ('pdf', 'image_pdf', 'docx')")
     pdf = pdf_text(F.col("content")) if pdf_text else F.lit(None).cast("string")
     scan = ocr(F.col("content")) if ocr else F.lit(None).cast("string")
     text = F.when(F.col("detected_type") == "docx", docx_text(F.col("content"))).when(F.col("detected_type") == "pdf", pdf).otherwise(scan)
