@@ -30,7 +30,7 @@ from . import textbuf
 from .store import input_table
 
 #: Characters of a leaf of a text; bytes of a leaf of an unsplit piece.
-LEAF, SHORT = 4096, 24
+LEAF, SHORT = 16384, 24
 #: Bytes beyond which a window around a join is merged by itself.
 WIDE = 96
 #: Characters of text encoded at once.

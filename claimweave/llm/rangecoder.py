@@ -30,10 +30,10 @@ _FLAG, _CLASS, _INNER = 12, 12, 13  # bits of the choice among orders, of the cl
 _LOW = _CLASS + _INNER
 _BITS = _FLAG + _LOW
 _SLOTS = 1 << 8  # of each order's table; small tables stay in the processor's cache
-_PAST, _SURE = 16, 128  # values of the two contexts
+_PAST, _SURE = 16, 32  # values of the two contexts
 _TOP, _FLOOR, _WORD, _ONE = np.uint64(48), np.uint64(1 << 48), np.uint64(16), np.uint64(1)
 #: Steps between new logits and between new weights, and the steps after which the classes get new frequencies.
-_LEARNT, _WEIGHED = 4, 8
+_LEARNT, _WEIGHED = 8, 16
 _COUNTED = frozenset([16, 48, 112, 240, *range(496, 1 << 20, 256)])
 _SQUASH = np.array([min(4063, max(32, round(4096 / (1 + np.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
 #: The next confidence after a miss (0 to 7) and after a hit; 0: the slot is empty.
@@ -55,7 +55,7 @@ _N = len(_FIRST)
 
 def _start() -> tuple[np.ndarray, np.ndarray]:
     """The logits at the start, 256 to 1: by the orders' confidences and whether they agree, and by the past."""
-    sure = np.array([-8 if not two + one else max(two, one) / 2 - 1.5 + (0.75 if same else -0.25) for two in range(8) for one in range(8) for same in range(2)])
+    sure = np.array([-8 if not two + one else max(two, one) / 2 - 1.5 + (0.75 if same else -0.25) for two in range(8) for one in (0, 3) for same in range(2)])
     past = np.array([0.5 * p.bit_count() - 1 for p in range(_PAST)])
     return np.clip(sure * 256, -2047, 2047).astype(np.int32), (past * 256).astype(np.int32)
 
@@ -77,7 +77,7 @@ class _Model:
         self.sure, self.of_past = np.tile(sure, n), np.tile(past, n)
         self.w_sure, self.w_past = np.full(n, 65536, np.int32), np.full(n, 45000, np.int32)
         self.counts = np.ones((_N, n), np.int32)
-        self.seen = np.empty((256, n), np.int64)
+        self.seen = np.empty((256, n), np.int32)
         self.ends = np.empty((_N, n), np.int16)
         self.refresh(0)
 
@@ -106,8 +106,8 @@ class _Model:
         e &= 7
         self.s = e
         self.g = np.where(e[0] >= e[1], self.both[0], self.both[1])
-        at = e[0] << 3
-        at += e[1]
+        at = e[0] << 1
+        at += e[1] > 1
         at <<= 1
         at += self.both[0] == self.both[1]
         self.at_sure, self.at_past = self.base_sure + at, self.base_past + self.past
@@ -132,7 +132,7 @@ class _Model:
                     x >>= 10
                     w += x
                     np.clip(w, 0, 1 << 18, out=w)
-            wrong >>= 4
+            wrong >>= 3
             for logits, at, x in ((self.sure, self.at_sure, self.x), (self.of_past, self.at_past, self.y)):
                 x += wrong
                 logits[at] = x
