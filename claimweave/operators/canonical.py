@@ -31,7 +31,7 @@ def arbitrated(claims: DataFrame, as_of: str = AS_OF, count_contact_weights: boo
     ``claims`` are normalized.  They are dealt by entity once; every strategy
     groups within that.
     """
-    rows = A.corroborate(claims.repartition("entity_id"))  # every strategy reads this one shuffle
+    rows = A.corroborate(claims.repartition("entity_id")).persist()  # read by every strategy; spills to disk; spark.catalog.clearCache() gives it back
     entities = rows.select("entity_id").distinct()
     union = A.union_fields(rows.where(F.col("field").isin(*UNION_FIELDS)))
     single = A.highest_confidence(rows.where(F.col("field").isin(*SINGLE_FIELDS)))

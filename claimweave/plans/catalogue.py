@@ -241,8 +241,8 @@ def norm_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of parts with an even length as keys, the reversed words as alias."""
-    names = _read(spark, sf_dir, "part").select(F.lower("p_name").alias("key")).distinct().where(F.length("key") % 2 == 0)
-    keys = names.select((F.crc32(F.col("key").cast("binary")) % 1_000_000).cast("int").alias("tax_ord"), "key", F.initcap("key").alias("canonical"))
+    names = _read(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("key")).agg(F.min("p_partkey").cast("int").alias("tax_ord")).where(F.length("key") % 2 == 0)
+    keys = names.select("tax_ord", "key", F.initcap("key").alias("canonical"))
     alias = F.concat(F.split_part("key", F.lit(" "), F.lit(2)), F.lit(" "), F.split_part("key", F.lit(" "), F.lit(1)))
     return keys.select("tax_ord", F.col("key").alias("term"), F.lit(False).alias("is_alias"), "key", "canonical").unionByName(keys.select("tax_ord", alias.alias("term"), F.lit(True).alias("is_alias"), "key", "canonical"))
 
@@ -255,6 +255,15 @@ def skill_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.when(F.col("_canonical").isNotNull(), "exact").otherwise("other").alias("match"))
 
 
+@query("""WITH k AS (SELECT lower(p_name) AS key, min(p_partkey) AS o FROM part WHERE length(p_name) % 2 = 0 GROUP BY 1),
+t AS (SELECT key AS term, 0 AS a, key, o FROM k UNION ALL SELECT split_part(key, ' ', 2) || ' ' || split_part(key, ' ', 1), 1, key, o FROM k), b AS (SELECT term, arg_min(key, o * 2 + a) AS key, arg_min(a, o * 2 + a) AS a FROM t GROUP BY 1)
+SELECT p_partkey, CASE a WHEN 0 THEN 'exact' WHEN 1 THEN 'alias' ELSE 'unverified' END AS match_type, coalesce(key, lower(p_name)) AS canonical FROM part LEFT JOIN b ON lower(trim(p_name)) = term""")
+def skill_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and alias matches of all part names; the earliest entry wins."""
+    rows = X.match_tokens(_read(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("token")), _taxonomy(spark, sf_dir), fuzzy=False)
+    return rows.select("p_partkey", "match_type", F.lower("canonical_name").alias("canonical"))
+
+
 @query()
 def skill_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact, alias and fuzzy matches of all part names."""
@@ -364,24 +373,30 @@ def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One synthetic document for each customer."""
+    """One synthetic document for each customer: with dates, without any, and with an interval inside another."""
     k = F.col("c_custkey").cast("string")
-    text = F.concat(
-        F.lit("Person Name"), F.lit("\nperson"), k, F.lit("@example.com | +91 98765"), F.lpad(k, 5, "0"), F.lit("\nPune, Maharashtra, India\n\nSKILLS\nLanguages: cold ring, Rust\n\nEXPERIENCE\nAcme "), k, F.lit(" Inc\nData Engineer\nJan 2020 - Mar 2021\n- built things\nBolt Ltd Mar 2021 - Present\nSenior Analyst\n- ran cold ring\n\nEDUCATION\nNorth State University\nB.Tech in Physics\n2019\nCity School 2015\nClass XII"),
-    )
-    return _read(spark, sf_dir, "customer").select(F.concat(F.lit("cv"), k).alias("source"), text.alias("text"))
+    head = F.concat(F.lit("Person Name\nperson"), k, F.lit("@example.com | +91 98765"), F.lpad(k, 5, "0"), F.lit("\nPune, Maharashtra, India\n\nSKILLS\nLanguages: cold ring, Rust\n\nEXPERIENCE\n"))
+    dated = F.concat(F.lit("Acme "), k, F.lit(" Inc\nData Engineer\nJan 2020 - Mar 2021\n- built things\nBolt Ltd Mar 2021 - Present\nSenior Analyst\n- ran cold ring\n\nEDUCATION\nNorth State University\nB.Tech in Physics\n2019\nCity School 2015\nClass XII"))
+    loose = F.lit("Software Developer\nNova Technologies\nwrote code\n\nEDUCATION\nHill College\nMBA")
+    inside = F.concat(F.lit("Core "), k, F.lit(" Corp\nLead Architect\nFeb 2018 - Dec 2018\n- drew plans\nDelta LLC Jan 2015 - Jan 2017\nResearcher\n- read\n\nEDUCATION\nLake Institute\nM.Sc in Biology\n2014"))
+    m = F.col("c_custkey") % 3
+    return _read(spark, sf_dir, "customer").select(F.concat(F.lit("cv"), k).alias("source"), F.concat(head, F.when(m == 0, dated).when(m == 1, loose).otherwise(inside)).alias("text"))
 
 
-@query("""SELECT 'cv' || c_custkey AS source, unnest(['Acme ' || c_custkey || ' Inc', 'Bolt Ltd']) AS company, unnest(['Data Engineer', 'Senior Analyst']) AS title, unnest(['2020-01', '2021-03']) AS "start", unnest(['2021-03', NULL]) AS "end", unnest(['- built things', '- ran cold ring']) AS summary FROM customer""")
+@query("""SELECT 'cv' || c_custkey AS source, unnest(['Acme ' || c_custkey || ' Inc', 'Bolt Ltd']) AS company, unnest(['Data Engineer', 'Senior Analyst']) AS title, unnest(['2020-01', '2021-03']) AS "start", unnest(['2021-03', NULL]) AS "end", unnest(['- built things', '- ran cold ring']) AS summary, true AS concurrent FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT 'cv' || c_custkey, 'Nova Technologies', 'Software Developer', NULL, NULL, 'wrote code', false FROM customer WHERE c_custkey % 3 = 1
+UNION ALL SELECT 'cv' || c_custkey, unnest(['Core ' || c_custkey || ' Corp', 'Delta LLC']), unnest(['Lead Architect', 'Researcher']), unnest(['2018-02', '2015-01']), unnest(['2018-12', '2017-01']), unnest(['- drew plans', '- read']), false FROM customer WHERE c_custkey % 3 = 2""")
 def role_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Roles of synthetic documents."""
+    """Roles of synthetic documents (X18 to X21): dated ones, paragraphs without dates, and which overlap."""
     rows = _cv(spark, sf_dir).withColumn("sections", T.sections(F.col("text"))).withColumn("part", T.section(F.col("sections"), "EXPERIENCE"))
-    return T.with_roles(rows, "part", "roles").select("source", F.explode("roles").alias("r")).select("source", "r.company", "r.title", "r.start", "r.end", "r.summary")
+    return T.with_roles(rows, "part", "roles").select("source", F.explode("roles").alias("r")).select("source", "r.company", "r.title", "r.start", "r.end", "r.summary", "r.concurrent")
 
 
-@query("""SELECT 'cv' || c_custkey AS source, unnest(['North State University', 'City School']) AS institution, unnest(['B.Tech in Physics', 'Class XII']) AS degree, unnest(['Physics', NULL]) AS field, unnest([2019, 2015])::INT AS end_year FROM customer""")
+@query("""SELECT 'cv' || c_custkey AS source, unnest(['North State University', 'City School']) AS institution, unnest(['B.Tech in Physics', 'Class XII']) AS degree, unnest(['Physics', NULL]) AS field, unnest([2019, 2015])::INT AS end_year FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT 'cv' || c_custkey, 'Hill College', 'MBA', NULL, NULL FROM customer WHERE c_custkey % 3 = 1
+UNION ALL SELECT 'cv' || c_custkey, 'Lake Institute', 'M.Sc in Biology', 'Biology', 2014 FROM customer WHERE c_custkey % 3 = 2""")
 def education_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Education of synthetic documents."""
+    """Education of synthetic documents (X22 to X27): with years, and a paragraph without."""
     rows = _cv(spark, sf_dir).withColumn("sections", T.sections(F.col("text"))).withColumn("part", T.section(F.col("sections"), "EDUCATION"))
     return T.with_education(rows, "part", "schools").select("source", F.explode("schools").alias("e")).select("source", "e.institution", "e.degree", "e.field", "e.end_year")
 
@@ -457,17 +472,26 @@ def project_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("entity_id", F.to_json("skills").alias("skills"), F.array_join(F.transform("provenance", lambda p: p["field"]), ",").alias("kept"))
 
 
-@query("""SELECT c_custkey::VARCHAR AS entity_id, false AS valid, 1::INT AS n_errors,
- (CASE WHEN c_custkey % 10 < 5 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 60 > 50 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END + 1)::INT AS n_warnings FROM customer""")
+@query("""WITH e AS (SELECT c_custkey AS k, (CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 10 = 9 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END)::INT AS n_errors FROM customer)
+SELECT k::VARCHAR AS entity_id, n_errors = 0 AS valid, n_errors, (CASE WHEN k % 10 < 5 THEN 1 ELSE 0 END + CASE WHEN k % 7 <> 0 AND k % 60 > 50 THEN 1 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END + 1)::INT AS n_warnings FROM e""")
 def validate_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors and warnings of profiles (V1 to V7); these lack candidate_id and so are invalid."""
+    """Errors and warnings of profiles (V1 to V7): some have no id, a confidence above 1, negative years or a null skill."""
+    k = F.col("entity_id").cast("long")
     p = _profiles(spark, sf_dir)
-    empty = p.withColumns({"experience": F.array().cast("array<struct<company:string,title:string,start:string,end:string,summary:string>>"), "education": F.array().cast("array<struct<institution:string,degree:string,field:string,end_year:int>>"), "links": F.from_json(F.lit("{}"), "linkedin string, github string, portfolio array<string>, other array<string>")})
-    v = validate(P.project(empty, P.ProjectionConfig()))
+    skill = p.schema["skills"].dataType
+    full = p.withColumns({
+        "candidate_id": F.when(k % 4 != 0, F.sha2("entity_id", 256)), "overall_confidence": F.when(k % 10 == 9, 1.5).otherwise(F.col("overall_confidence")), "years_experience": F.when(k % 7 == 0, -1.0).otherwise(F.col("years_experience")),
+        "skills": F.when(k % 11 == 0, F.array(F.lit(None)).cast(skill)).otherwise(F.col("skills")),
+        "experience": F.array().cast("array<struct<company:string,title:string,start:string,end:string,summary:string>>"), "education": F.array().cast("array<struct<institution:string,degree:string,field:string,end_year:int>>"),
+        "links": F.from_json(F.lit("{}"), "linkedin string, github string, portfolio array<string>, other array<string>"),
+    })
+    v = validate(P.project(full, P.ProjectionConfig()))
     return v.select("entity_id", "valid", F.size("validation_errors").alias("n_errors"), F.size("validation_warnings").alias("n_warnings"))
 
 
-@query()
+@query(_WINNERS + """, g AS (SELECT entity_id, value AS name, max(confidence) AS c, count(DISTINCT source) AS n FROM boosted GROUP BY 1, 2),
+r AS (SELECT entity_id, count(*)::INT AS n_skills, max(round_even(CASE WHEN n > 1 THEN least(1.0::DOUBLE, c + 0.15::DOUBLE) ELSE c END, 3)) AS best FROM g GROUP BY 1)
+SELECT w.entity_id, sha256('entity:' || w.entity_id) AS candidate_id, w.value AS headline, r.n_skills, round_even((0.10::DOUBLE * w.confidence + 0.20::DOUBLE * r.best) / (0.10::DOUBLE + 0.20::DOUBLE), 3) AS overall_confidence, 13::INT AS n_provenance FROM w JOIN r USING (entity_id)""")
 def canonical_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles from claims of events: arbitration, provenance, overall confidence."""
     rows = claims(spark, sf_dir).unionByName(claims(spark, sf_dir, "skills"))

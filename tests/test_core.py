@@ -1,5 +1,6 @@
 """Arbitration, normalizers, projection and text on small inputs."""
 
+import json
 import random
 
 import pytest
@@ -12,7 +13,8 @@ from claimweave.operators import projection as P
 from claimweave.operators import roles as R
 from claimweave.operators.taxonomy import from_dict, match_tokens
 from claimweave.plans import pipeline
-from claimweave.sources.files import as_claims
+from claimweave.sources import files as S
+from claimweave.sources.files import as_claims, kept_value
 
 TAXONOMY = {"python": {"canonical": "Python", "aliases": ["py"], "category": "x"}, "next.js": {"canonical": "Next.js", "aliases": ["nextjs"]}}
 
@@ -132,3 +134,86 @@ def test_run(spark, tmp_path):
     assert "Empty file" in said and "Malformed row 3" in said and "call me" in said
     with pytest.raises(ValueError, match="Invalid input"):
         pipeline.run(spark)
+
+
+def test_run_isolates(spark, tmp_path):
+    """A missing path is a warning; an entity without a required value fails by itself and keeps its whole profile."""
+    (tmp_path / "people.csv").write_text("name,email,title\nAsha Example,asha@example.com,Intern\n,bo@x.org,Lead\n")
+    config = P.ProjectionConfig([{"path": "who", "from": "full_name", "required": True}, {"path": "headline"}, {"path": "site", "from": "links.portfolio[0]"}], False, False)
+    r = pipeline.run(spark, [str(tmp_path / "people.csv"), str(tmp_path / "gone.csv")], config=config)
+    assert {x.file_name: x.warning for x in r.sources.collect()} == {"people.csv": None, "gone.csv": "File not found"}
+    said = {x.entity_id: json.loads(x.json) for x in r.envelopes.collect()}
+    assert said["asha@example.com"]["success"] and said["asha@example.com"]["output"] == {"who": "Asha Example", "headline": "Intern", "site": None} and said["asha@example.com"]["validation"]["valid"]
+    assert not said["bo@x.org"]["success"] and "who" in said["bo@x.org"]["error"][0] and said["bo@x.org"]["profile"]["headline"] == "Lead"
+    bad = pipeline.run(spark, [str(tmp_path / "people.csv")], config=P.ProjectionConfig([{"path": "a"}], on_missing="x"))
+    assert "whole profiles" in bad.log[-1]["details"] and {"full_name", "valid"} <= set(bad.output.columns)
+
+
+def test_missing_values(spark):
+    d = spark.createDataFrame([("e", "Jane", None), ("f", None, "x")], "entity_id string, full_name string, headline string")
+    config = P.ProjectionConfig([{"path": "full_name", "required": True}, {"path": "headline"}], False, False, "omit")
+    assert {x.entity_id: x.why for x in d.select("entity_id", P.missing(d, config).alias("why")).collect()} == {"e": None, "f": "Required field is missing: full_name"}
+    with pytest.raises(P.ProjectionError, match="full_name"):
+        P.require(d, config)
+    P.require(d.where("entity_id = 'e'"), config)
+    with pytest.raises(P.ProjectionError, match="on_missing"):
+        P.project(d, P.ProjectionConfig(on_missing="x"))
+    assert P.project_json(d.where("entity_id = 'e'"), config).first().output == '{"full_name":"Jane"}'
+    assert P.project(d, config, strict=False).count() == 2
+
+
+def test_counted_log(spark):
+    n = [spark.range(k) for k in range(1, 8)]
+    r = pipeline.Result(*n, log=[{"step": "input", "details": "x"}, {"step": "extract", "details": "y"}, {"step": "arbitrate", "details": "z"}])
+    assert [x.get("rows") for x in r.counted()] == [1, None, 3]
+
+
+def test_scans(spark, tmp_path):
+    (tmp_path / "scan.pdf").write_bytes(b"%PDF-1.4 scanned")
+    (tmp_path / "plain.pdf").write_bytes(b"%PDF-1.4 " + b"Jane Roe\njane@x.org\n" * 20)
+    text = lambda c: F.substr(c.cast("string"), F.lit(10))
+    found = S.detect(S.read_files(spark, [str(tmp_path), str(tmp_path / "none")]), text(F.col("content")), content=True)
+    assert {x.file_name: (x.detected_type, x.warning) for x in found.collect()} == {"scan.pdf": ("image_pdf", "Scanned PDF detected, OCR required"), "plain.pdf": ("pdf", None)}
+    got = {x.source: (x.text, x.warning) for x in S.document_text(found, text, lambda c: F.lit("Ann Poe")).collect()}
+    assert got["scan.pdf"] == ("Ann Poe", None) and got["plain.pdf"][0].startswith("Jane Roe")
+    got = {x.source: (x.text, x.warning) for x in S.document_text(found).collect()}
+    assert got["scan.pdf"] == ("", "OCR is not available: no text was extracted from the scanned PDF.") and got["plain.pdf"] == ("", "Text extraction failed")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "people.csv").write_text("name,email\nAsha Example,asha@example.com\n")
+    (tmp_path / "bad.json").write_text("{")
+    pipeline.main(["--csv", str(tmp_path / "people.csv"), "--taxonomy", str(tmp_path / "bad.json"), "--config", str(tmp_path / "bad.json")])
+    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])["output"]
+    assert out["full_name"] == "Asha Example" and out["headline"] is None
+
+
+def test_white_space(spark):
+    """Values are trimmed of all white space."""
+    raw = "\t\u00a0 A@X.com\u2003\r\n"
+    r = spark.createDataFrame([(raw, "\t")], "x string, y string").select(N.email_normalized(F.col("x")).alias("e"), A.equality_key(F.lit("email"), F.col("x")).alias("k"), kept_value(F.col("y")).alias("kept"), N.country_normalized(F.lit("\nIndia\t")).alias("c")).first()
+    assert (r.e.value, r.k, r.kept, r.c.value) == ("a@x.com", "a@x.com", False, "IN")
+
+
+def test_overlapping_roles(spark):
+    text = "A Inc\nEngineer\nJan 2020 - Mar 2021\n- x\nB Ltd Mar 2021 - Dec 2022\nAnalyst\n- y\nC Corp Jan 2015 - Jan 2016\nManager\n- z"
+    found = T.with_roles(spark.createDataFrame([(text,)], "t string"), "t", "roles").first().roles
+    assert [(x.company, x.concurrent) for x in found] == [("A Inc", True), ("B Ltd", True), ("C Corp", False)]
+
+
+def test_samples():
+    for c in P.SAMPLES.values():
+        assert P.validate_config({"fields": c.fields, "on_missing": c.on_missing}) == []
+    assert [f["path"] for f in P.SAMPLES["custom"].fields][:2] == ["full_name", "primary_email"]
+
+
+def test_role_merge_by_entity(spark):
+    """Merged roles of random entities are each entity's own fold, in its order."""
+    r = random.Random(9)
+    rows = [(str(e), i, r.choice(["Acme Inc", "ACME", "Bolt", "Core"]), r.choice(["Dev", "Lead"]), f"20{r.randint(10, 20)}-{r.randint(1, 12):02d}", f"20{r.randint(15, 24)}-{r.randint(1, 12):02d}", "s", False, [r.choice("xy")], 0.5) for e in range(30) for i in range(r.randint(1, 6))]
+    d = spark.createDataFrame(rows, R.ROLE_COLUMNS)
+    got = {(x.entity_id, x.ord): (x.company, x.title, x.start, x.end) for x in R.merge_roles(d).collect()}
+    for e in {x[0] for x in rows}:
+        mine = [dict(zip(("company", "title", "start", "end", "summary", "concurrent", "sources", "confidence"), x[2:], strict=True)) for x in rows if x[0] == e]
+        want = {i: (x["company"], x["title"], x["start"], x["end"]) for i, x in enumerate(R.fold(mine))}
+        assert {k[1]: v for k, v in got.items() if k[0] == e} == want
