@@ -111,14 +111,14 @@ def concurrent(intervals: DataFrame) -> DataFrame:
     Intervals are compared as they stand, inverted ones too.  Every interval
     enters an ordered window at its start and asks at its end for the furthest
     end among those that have started, its own left out: for that the two
-    furthest are carried along.  One sort, whatever the number of intervals.
+    furthest of different ``ord`` are carried along.  One sort, whatever the number of intervals.
     """
     kept = F.struct(*intervals.columns).alias("_i")
     marks = intervals.select("entity_id", kept, F.explode(F.array(F.struct(F.col("s").alias("t"), F.lit(0).alias("ask")), F.struct(F.col("e").alias("t"), F.lit(1).alias("ask")))).alias("_m"))
     marks = marks.select("entity_id", "_i", "_m.t", "_m.ask", F.when(F.col("_m.ask") == 0, F.struct(F.col("_i.e").alias("e"), F.col("_i.ord").alias("ord"))).alias("_end"))
     w = Window.partitionBy("entity_id").orderBy("t", "ask", "_i.ord")
     furthest, before = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marks = marks.withColumns({"_first": furthest, "_low": F.when((F.col("ask") == 0) & before.isNotNull(), F.least("_end", before))})
+    marks = marks.withColumns({"_first": furthest, "_low": F.when((F.col("ask") == 0) & (before["ord"] != F.col("_end.ord")), F.least("_end", before))})
     marks = marks.withColumn("_second", F.max("_low").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("ask = 1")
     other = F.when(F.col("_first.ord") == F.col("_i.ord"), F.col("_second.e")).otherwise(F.col("_first.e"))
     return marks.select("_i.*", F.coalesce(other >= F.col("_i.s"), F.lit(False)).alias("concurrent"))

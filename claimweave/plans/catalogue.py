@@ -481,7 +481,7 @@ def validate_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     skill = p.schema["skills"].dataType
     full = p.withColumns({
         "candidate_id": F.when(k % 4 != 0, F.sha2("entity_id", 256)), "overall_confidence": F.when(k % 10 == 9, 1.5).otherwise(F.col("overall_confidence")), "years_experience": F.when(k % 7 == 0, -1.0).otherwise(F.col("years_experience")),
-        "skills": F.when(k % 11 == 0, F.array(F.lit(None)).cast(skill)).otherwise(F.col("skills")),
+        "skills": F.when(k % 11 == 0, F.array(F.lit(None).cast(skill.elementType))).otherwise(F.col("skills")),
         "experience": F.array().cast("array<struct<company:string,title:string,start:string,end:string,summary:string>>"), "education": F.array().cast("array<struct<institution:string,degree:string,field:string,end_year:int>>"),
         "links": F.from_json(F.lit("{}"), "linkedin string, github string, portfolio array<string>, other array<string>"),
     })
