@@ -189,20 +189,20 @@ def require(profiles: DataFrame, config: ProjectionConfig) -> None:
         raise ProjectionError(f"{bad.why} ({bad.entity_id})")
 
 
-def project(profiles: DataFrame, config: ProjectionConfig, taxonomy: dict | None = None, strict: bool = True) -> DataFrame:
+def project(profiles: DataFrame, config: ProjectionConfig, taxonomy: dict | None = None, strict: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """``profiles`` (with entity_id) in the shape that a config asks for.
 
     A missing value follows ``on_missing``: null, ``error`` (as for required
     fields) raises when the row is computed, ``omit`` drops the key from that
     row's JSON (see ``project_json``).  Without ``strict`` nothing raises; see
-    ``missing`` for the rows that would have.
+    ``missing`` for the rows that would have.  The columns ``keep`` are carried along.
     """
     if config.on_missing not in MISSING:
         raise ProjectionError(f"on_missing must be one of {', '.join(MISSING)}")
     schema = profiles.schema
     columns: dict[str, Column] = {}
     if not config.fields:
-        columns = {c: F.col(c) for c in profiles.columns if c != "entity_id"}
+        columns = {c: F.col(c) for c in profiles.columns if c not in ("entity_id", *keep)}
     for f in config.fields:
         path = f.get("path")
         if not path:
@@ -225,7 +225,7 @@ def project(profiles: DataFrame, config: ProjectionConfig, taxonomy: dict | None
     elif "provenance" in schema.names and "provenance" not in columns:
         names = sorted(referenced_fields(config.fields))
         columns["provenance"] = F.filter("provenance", lambda p: p["field"].isin(*names)) if names else F.filter("provenance", lambda p: F.lit(False))
-    return profiles.select("entity_id", *(c.alias(n) for n, c in columns.items()))
+    return profiles.select("entity_id", *(c.alias(n) for n, c in columns.items()), *keep)
 
 
 def project_json(profiles: DataFrame, config: ProjectionConfig, taxonomy: dict | None = None) -> DataFrame:

@@ -77,25 +77,25 @@ def run(
     log.append({"step": "normalize", "details": "one normalizer for each field"})
     profiles = C.canonical(claims, timestamp or f"{as_of}-20T00:00:00Z", as_of)
     log.append({"step": "arbitrate", "details": "one strategy for each field, 13 provenance records"})
-    why = F.lit(None).cast("string")
+    whole = row_json([c for c in profiles.columns if c != "entity_id"])
     try:
         why = missing(profiles, config)
-        good = profiles.withColumn("_why", why).where("_why is null").drop("_why")
-        checked = validate(project(good, config, terms, strict=False), config)
+        every = profiles.withColumns({"_error": why, "_profile": F.when(why.isNotNull(), whole)})
+        every = validate(project(every, config, terms, strict=False, keep=("_error", "_profile")), config)
         log.append({"step": "project", "details": f"{len(config.fields) or 'all'} fields"})
     except Exception as e:  # noqa: BLE001  a config that does not compile must not lose the profiles
         log.append({"step": "project", "details": f"failed, whole profiles instead: {e}"})
-        why = F.lit(None).cast("string")
         config = ProjectionConfig()
-        checked = validate(project(profiles, config, terms))
-    whole = [c for c in profiles.columns if c != "entity_id"]
-    failed = profiles.withColumn("error", why).where("error is not null").select("entity_id", "error", row_json(whole).alias("profile"))
+        every = profiles.withColumns({"_error": F.lit(None).cast("string"), "_profile": F.lit(None).cast("string")})
+        every = validate(project(every, config, terms, keep=("_error", "_profile")))
+    # One row for each entity, whichever way it went, so that nothing is joined or computed twice.
     verdict = ("validation_errors", "validation_warnings", "valid")
-    body = row_json([c for c in checked.columns if c not in ("entity_id", *verdict)], config.on_missing == "omit")
-    said = F.to_json(F.struct(*verdict), {"ignoreNullFields": "false"})
-    envelopes = checked.select("entity_id", F.concat(F.lit('{"success":true,"output":'), body, F.lit(',"validation":'), said, F.lit("}")).alias("json")).unionByName(
-        failed.select("entity_id", F.concat(F.lit('{"success":false,"error":'), F.to_json(F.array("error")), F.lit(',"profile":'), "profile", F.lit("}")).alias("json"))
-    )
+    body = row_json([c for c in every.columns if c not in ("entity_id", "_error", "_profile", *verdict)], config.on_missing == "omit")
+    good = F.concat(F.lit('{"success":true,"output":'), body, F.lit(',"validation":'), F.to_json(F.struct(*verdict), {"ignoreNullFields": "false"}), F.lit("}"))
+    bad = F.concat(F.lit('{"success":false,"error":'), F.to_json(F.array("_error")), F.lit(',"profile":'), "_profile", F.lit("}"))
+    envelopes = every.select("entity_id", F.when(F.col("_error").isNull(), good).otherwise(bad).alias("json"))
+    checked = every.where("_error is null").drop("_error", "_profile")
+    failed = every.where("_error is not null").select("entity_id", F.col("_error").alias("error"), F.col("_profile").alias("profile"))
     said = failure_warnings(claims).select("entity_id", F.explode("warnings").alias("warning"))
     for rows, name in ((sources.withColumn("source", F.col("file_name")), "source"), (records, "source"), (texts, "source")):
         said = said.unionByName(rows.where("warning is not null").select(F.lit(None).cast("string").alias("entity_id"), F.concat(name, F.lit(": "), "warning").alias("warning")))
