@@ -180,14 +180,6 @@ def test_scans(spark, tmp_path):
     assert got["scan.pdf"] == ("", "OCR is not available: no text was extracted from the scanned PDF.") and got["plain.pdf"] == ("", "Text extraction failed")
 
 
-def test_command_line(spark, tmp_path, capsys):
-    (tmp_path / "people.csv").write_text("name,email\nAsha Example,asha@example.com\n")
-    (tmp_path / "bad.json").write_text("{")
-    pipeline.main(["--csv", str(tmp_path / "people.csv"), "--taxonomy", str(tmp_path / "bad.json"), "--config", str(tmp_path / "bad.json")])
-    out = json.loads(capsys.readouterr().out.strip().splitlines()[-1])["output"]
-    assert out["full_name"] == "Asha Example" and out["headline"] is None
-
-
 def test_white_space(spark):
     """Values are trimmed of all white space."""
     raw = "\t\u00a0 A@X.com\u2003\r\n"
