@@ -136,19 +136,6 @@ def test_run(spark, tmp_path):
         pipeline.run(spark)
 
 
-def test_run_isolates(spark, tmp_path):
-    """A missing path is a warning; an entity without a required value fails by itself and keeps its whole profile."""
-    (tmp_path / "people.csv").write_text("name,email,title\nAsha Example,asha@example.com,Intern\n,bo@x.org,Lead\n")
-    config = P.ProjectionConfig([{"path": "who", "from": "full_name", "required": True}, {"path": "headline"}, {"path": "site", "from": "links.portfolio[0]"}], False, False)
-    r = pipeline.run(spark, [str(tmp_path / "people.csv"), str(tmp_path / "gone.csv")], config=config)
-    assert {x.file_name: x.warning for x in r.sources.collect()} == {"people.csv": None, "gone.csv": "File not found"}
-    said = {x.entity_id: json.loads(x.json) for x in r.envelopes.collect()}
-    assert said["asha@example.com"]["success"] and said["asha@example.com"]["output"] == {"who": "Asha Example", "headline": "Intern", "site": None} and said["asha@example.com"]["validation"]["valid"]
-    assert not said["bo@x.org"]["success"] and "who" in said["bo@x.org"]["error"][0] and said["bo@x.org"]["profile"]["headline"] == "Lead"
-    bad = pipeline.run(spark, [str(tmp_path / "people.csv")], config=P.ProjectionConfig([{"path": "a"}], on_missing="x"))
-    assert "whole profiles" in bad.log[-1]["details"] and {"full_name", "valid"} <= set(bad.output.columns)
-
-
 def test_missing_values(spark):
     d = spark.createDataFrame([("e", "Jane", None), ("f", None, "x")], "entity_id string, full_name string, headline string")
     config = P.ProjectionConfig([{"path": "full_name", "required": True}, {"path": "headline"}], False, False, "omit")
