@@ -44,22 +44,36 @@ def full_lines(text: Column) -> Column:
     return F.filter(F.transform(lines_of(text), lambda x: strip(x)), lambda x: x != "")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it.
+
+    A Column named twice is computed twice, and inside a lambda once for each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _header(line: Column) -> Column:
     return strip(F.regexp_replace(strip(line), ":+$", ""))
 
 
 def is_header(line: Column) -> Column:
     """A line in capitals, or a known heading, of fewer than 50 characters."""
-    h = _header(line)
-    capitals = h.rlike(r"\p{Lu}") & ~h.rlike(r"\p{Ll}")
-    return (h != "") & (F.length(h) < 50) & (capitals | F.lower(h).isin(*SECTIONS))
+
+    def fits(h: Column) -> Column:
+        capitals = h.rlike(r"\p{Lu}") & ~h.rlike(r"\p{Ll}")
+        return (h != "") & (F.length(h) < 50) & (capitals | F.lower(h).isin(*SECTIONS))
+
+    return _let(_header(line), fits)
 
 
 def header_positions(text: Column) -> Column:
     """Line numbers (from 0) of the headings that something follows."""
-    lines = lines_of(text)
+    return _let(lines_of(text), _headings)
+
+
+def _headings(lines: Column) -> Column:
     last = F.array_max(F.transform(lines, lambda x, i: F.when(strip(x) != "", i)))
-    return F.filter(F.transform(lines, lambda x, i: F.when(is_header(x) & (i < last), i)), lambda i: i.isNotNull())
+    return _let(last, lambda n: F.filter(F.transform(lines, lambda x, i: F.when((i < n) & is_header(x), i)), lambda i: i.isNotNull()))
 
 
 def sections(text: Column) -> Column:
@@ -67,21 +81,23 @@ def sections(text: Column) -> Column:
 
     Without headings the whole text is the section FULL_DOCUMENT.
     """
-    lines = lines_of(text)
-    at = header_positions(text)
     known = literal_map(SECTIONS)
 
-    def section(start: Column, k: Column) -> Column:
-        end = F.coalesce(F.get(at, k + 1), F.size(lines))
-        name = _header(F.get(lines, start))
-        return F.struct(F.coalesce(known[F.lower(name)], F.upper(name)).alias("name"), F.regexp_replace(F.array_join(F.slice(lines, start + 2, end - start - 1), "\n"), r"^\s+|\s+$", "").alias("body"))
+    def found(lines: Column, at: Column) -> Column:
+        def section(start: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(at, k + 1), F.size(lines))
+            body = F.regexp_replace(F.array_join(F.slice(lines, start + 2, end - start - 1), "\n"), r"^\s+|\s+$", "")
+            return F.struct(_let(_header(F.get(lines, start)), lambda name: F.coalesce(known[F.lower(name)], F.upper(name))).alias("name"), body.alias("body"))
+
+        return F.when(F.size(at) == 0, whole).otherwise(_let(F.transform(at, section), pooled))
+
+    def pooled(parts: Column) -> Column:
+        names = F.array_distinct(F.transform(parts, lambda p: p["name"]))
+        return F.transform(names, lambda n: F.struct(n.alias("name"), F.array_join(F.transform(F.filter(parts, lambda p: p["name"] == n), lambda p: p["body"]), "\n").alias("body")))
 
-    parts = F.transform(at, section)
-    names = F.array_distinct(F.transform(parts, lambda p: p["name"]))
-    pooled = F.transform(names, lambda n: F.struct(n.alias("name"), F.array_join(F.transform(F.filter(parts, lambda p: p["name"] == n), lambda p: p["body"]), "\n").alias("body")))
     whole = F.array(F.struct(F.lit(FULL_DOCUMENT).alias("name"), text.alias("body")))
     block = F.array(F.struct(F.lit(CONTACT_BLOCK).alias("name"), contact_block(text).alias("body")))
-    return F.concat(block, F.when(F.size(at) == 0, whole).otherwise(pooled))
+    return F.concat(block, _let(lines_of(text), lambda lines: _let(_headings(lines), lambda at: found(lines, at))))
 
 
 def contact_block(text: Column) -> Column:
@@ -247,8 +263,9 @@ def with_roles(df: DataFrame, text: str, out: str, confidence: Column | None = N
     def rest(b: Column) -> Column:
         return F.filter(b["lines"], lambda x: ~x.eqNullSafe(b["line"]) & ~x.eqNullSafe(b["title"]))
 
-    def overlaps(roles: Column, r: Column, i: Column) -> Column:
-        met = F.transform(roles, lambda x, j: (i != j) & (month_index(r["start"]) <= month_index(x["end"])) & (month_index(x["start"]) <= month_index(r["end"])))
+    def overlaps(i: Column) -> Column:
+        own = F.get("_spans", i)
+        met = F.transform("_spans", lambda x, j: (i != j) & (own["s"] <= x["e"]) & (x["s"] <= own["e"]))
         return F.exists(met, lambda x: x)
 
     keep = ["lines", "dates", "line"]
@@ -268,9 +285,10 @@ def with_roles(df: DataFrame, text: str, out: str, confidence: Column | None = N
         (out, lambda: F.transform(F.filter("_blocks", lambda b: b["company"].isNotNull() | b["title"].isNotNull()), lambda b: F.struct(
             b["company"].alias("company"), b["title"].alias("title"), b["dates"]["start"].alias("start"), b["dates"]["end"].alias("end"), F.when(F.size(b["said"]) > 0, F.array_join(b["said"], "\n")).alias("summary"),
             F.lit(False).alias("concurrent"), F.array(F.lit("resume")).alias("sources"), confidence.alias("confidence")))),
-        (out, lambda: F.transform(out, lambda r, i: r.withField("concurrent", overlaps(F.col(out), r, i)))),
+        ("_spans", lambda: F.transform(out, lambda r: F.struct(month_index(r["start"]).alias("s"), month_index(r["end"]).alias("e")))),
+        (out, lambda: F.transform(out, lambda r, i: r.withField("concurrent", overlaps(i)))),
     ])
-    return staged.drop("_lines", "_dates", "_at", "_stops", "_walls", "_first", "_blocks")
+    return staged.drop("_lines", "_dates", "_at", "_stops", "_walls", "_first", "_blocks", "_spans")
 
 
 # -- education -------------------------------------------------------------------

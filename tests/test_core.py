@@ -196,3 +196,13 @@ def test_role_merge_by_entity(spark):
         mine = [dict(zip(("company", "title", "start", "end", "summary", "concurrent", "sources", "confidence"), x[2:], strict=True)) for x in rows if x[0] == e]
         want = {i: (x["company"], x["title"], x["start"], x["end"]) for i, x in enumerate(R.fold(mine))}
         assert {k[1]: v for k, v in got.items() if k[0] == e} == want
+
+
+def test_sections_evaluate_once(spark):
+    """Headings are looked for once a text, however many sections it has, and bodies of one name are joined."""
+    said = str(T.sections(F.col("t")))
+    assert said.count("\\p{Lu}") == 1 and said.count("array_distinct") == 1
+    text = "Jane\nSKILLS\na\nEducation:\nb\n\nWORK HISTORY\nc\nskills\nd\nEND"
+    rows = spark.createDataFrame([(text,), (None,), ("",), ("ONLY",)], "t string").select(T.sections(F.col("t")).alias("s"), T.header_positions(F.col("t")).alias("at")).collect()
+    assert [(s.name, s.body) for s in rows[0].s][1:] == [("SKILLS", "a\nd\nEND"), ("EDUCATION", "b"), ("EXPERIENCE", "c")] and rows[0]["at"] == [1, 3, 6, 8]
+    assert [[s.name for s in r.s] for r in rows[2:]] == [["CONTACT_BLOCK", "FULL_DOCUMENT"]] * 2
