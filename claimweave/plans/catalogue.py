@@ -372,6 +372,12 @@ def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select("o_orderkey", T.date_range(line).alias("r")).select("o_orderkey", "r.start", "r.end", "r.is_present", "r.company")
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt over all cores: a small file can hold many, each of which becomes a document to parse."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), key)
+
+
 def _cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One synthetic document for each customer: with dates, without any, and with an interval inside another."""
     k = F.col("c_custkey").cast("string")
@@ -380,7 +386,7 @@ def _cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     loose = F.lit("Software Developer\nNova Technologies\nwrote code\n\nEDUCATION\nHill College\nMBA")
     inside = F.concat(F.lit("Core "), k, F.lit(" Corp\nLead Architect\nFeb 2018 - Dec 2018\n- drew plans\nDelta LLC Jan 2015 - Jan 2017\nResearcher\n- read\n\nEDUCATION\nLake Institute\nM.Sc in Biology\n2014"))
     m = F.col("c_custkey") % 3
-    return _read(spark, sf_dir, "customer").select(F.concat(F.lit("cv"), k).alias("source"), F.concat(head, F.when(m == 0, dated).when(m == 1, loose).otherwise(inside)).alias("text"))
+    return _dealt(_read(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(F.concat(F.lit("cv"), k).alias("source"), F.concat(head, F.when(m == 0, dated).when(m == 1, loose).otherwise(inside)).alias("text"))
 
 
 @query("""SELECT 'cv' || c_custkey AS source, unnest(['Acme ' || c_custkey || ' Inc', 'Bolt Ltd']) AS company, unnest(['Data Engineer', 'Senior Analyst']) AS title, unnest(['2020-01', '2021-03']) AS "start", unnest(['2021-03', NULL]) AS "end", unnest(['- built things', '- ran cold ring']) AS summary, true AS concurrent FROM customer WHERE c_custkey % 3 = 0

@@ -12,7 +12,7 @@ from claimweave.operators import arbitrate as A
 from claimweave.operators import projection as P
 from claimweave.operators import roles as R
 from claimweave.operators.taxonomy import from_dict, match_tokens
-from claimweave.plans import pipeline
+from claimweave.plans import catalogue, pipeline
 from claimweave.sources import files as S
 from claimweave.sources.files import as_claims, kept_value
 
@@ -206,3 +206,11 @@ def test_sections_evaluate_once(spark):
     rows = spark.createDataFrame([(text,), (None,), ("",), ("ONLY",)], "t string").select(T.sections(F.col("t")).alias("s"), T.header_positions(F.col("t")).alias("at")).collect()
     assert [(s.name, s.body) for s in rows[0].s][1:] == [("SKILLS", "a\nd\nEND"), ("EDUCATION", "b"), ("EXPERIENCE", "c")] and rows[0]["at"] == [1, 3, 6, 8]
     assert [[s.name for s in r.s] for r in rows[2:]] == [["CONTACT_BLOCK", "FULL_DOCUMENT"]] * 2
+
+
+def test_documents_of_a_small_file_are_dealt(spark, tmp_path):
+    """Many documents made from one small file are parsed by all cores, with the same education as ever."""
+    spark.range(12, numPartitions=1).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    assert catalogue._cv(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    got = sorted((int(x.source[2:]) % 3, x.institution, x.degree, x.end_year) for x in catalogue.QUERIES["education_rows"](spark, str(tmp_path)).collect())
+    assert got == sorted([(0, "North State University", "B.Tech in Physics", 2019), (0, "City School", "Class XII", 2015), (1, "Hill College", "MBA", None), (2, "Lake Institute", "M.Sc in Biology", 2014)] * 4, key=lambda x: (x[0], x[1]))
