@@ -214,3 +214,20 @@ def test_documents_of_a_small_file_are_dealt(spark, tmp_path):
     assert catalogue._cv(spark, str(tmp_path)).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     got = sorted((int(x.source[2:]) % 3, x.institution, x.degree, x.end_year) for x in catalogue.QUERIES["education_rows"](spark, str(tmp_path)).collect())
     assert got == sorted([(0, "North State University", "B.Tech in Physics", 2019), (0, "City School", "Class XII", 2015), (1, "Hill College", "MBA", None), (2, "Lake Institute", "M.Sc in Biology", 2014)] * 4, key=lambda x: (x[0], x[1]))
+
+
+def test_role_merge_many_entities_at_a_time(spark):
+    """No call for each entity; entities that go over several batches, null ids, odd dates and companies within others come out as by ``fold``."""
+    r = random.Random(5)
+    dates = [None, "", "Present", "2020", "x", "123456789012345678901234-05", *(f"20{y}-{m:02d}" for y in range(10, 20) for m in (1, 6))]
+    names = ("company", "title", "start", "end", "summary", "concurrent", "sources", "confidence")
+    rows = [(e, i, r.choice([None, "", "Inc", "Acme Inc", "ACME", "acme labs ltd", "Bolt", "Core", "Core Bolt"]), r.choice([None, "Dev", "Lead"]), r.choice(dates), r.choice(dates), r.choice([None, "a", "b"]), r.random() < 0.1, [r.choice("xy")], 0.5) for e in (None, *map(str, range(40))) for i in range(r.randint(1, 25))]
+    want = {(e, i): x for e in {x[0] for x in rows} for i, x in enumerate(R.fold([dict(zip(names, x[2:], strict=True)) for x in rows if x[0] == e]))}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = R.merge_roles(spark.createDataFrame(rows, R.ROLE_COLUMNS))
+        got = {(x["entity_id"], x["ord"]): {n: x[n] for n in names} for x in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want and len(want) < len(rows)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
