@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +27,32 @@ def _roles(claims: DataFrame) -> DataFrame:
     return lists.select("entity_id", (F.col("ord") * 100000 + F.col("pos")).alias("ord"), "r.*")
 
 
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` computed once for several readers; they spill to disk, and ``spark.catalog.clearCache()`` or the end of their readers gives them back.
+
+    On one machine the plans above them do not carry theirs along, which takes longer to
+    analyse than a small table to read; shuffles below run at once then.  On a
+    cluster they keep it, so that lost executors' rows can be computed again.
+    """
+    alone = re.fullmatch(r"local(\[.*\])?", rows.sparkSession.sparkContext.master)
+    return rows.localCheckpoint(eager=False) if alone else rows.persist()
+
+
+def _corroborated(claims: DataFrame) -> DataFrame:
+    """Claims dealt by entity once, for every strategy and grouping to read."""
+    return kept(A.corroborate(claims.repartition("entity_id")))
+
+
 def arbitrated(claims: DataFrame, as_of: str = AS_OF, count_contact_weights: bool = False) -> tuple[DataFrame, DataFrame]:
     """Values by entity, and provenance rows ``entity_id, position, record`` (13 of each entity, in fixed order).
 
     ``claims`` are normalized.  They are dealt by entity once; every strategy
     groups within that.
     """
-    rows = A.corroborate(claims.repartition("entity_id")).persist()  # read by every strategy; spills to disk; spark.catalog.clearCache() gives it back
+    return _arbitrated(_corroborated(claims), as_of, count_contact_weights)
+
+
+def _arbitrated(rows: DataFrame, as_of: str, count_contact_weights: bool) -> tuple[DataFrame, DataFrame]:
     entities = rows.select("entity_id").distinct()
     union = A.union_fields(rows.where(F.col("field").isin(*UNION_FIELDS)))
     single = A.highest_confidence(rows.where(F.col("field").isin(*SINGLE_FIELDS)))
@@ -82,9 +103,10 @@ def canonical(claims: DataFrame, timestamp: str = f"{AS_OF}-20T00:00:00Z", as_of
 
     ``timestamp`` is a parameter, so a run can be repeated.
     """
-    values, provenance = arbitrated(claims, as_of, count_contact_weights)
+    rows = _corroborated(claims)
+    values, provenance = _arbitrated(rows, as_of, count_contact_weights)
     trail = provenance.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "record"))), lambda x: x["record"]).alias("provenance"))
-    files = claims.groupBy("entity_id").agg(F.array_sort(F.collect_set("source")).alias("source_files"))
+    files = rows.groupBy("entity_id").agg(F.array_sort(F.collect_set("source")).alias("source_files"))
     nothing = F.array().cast("array<string>")
     place = F.from_json("location", "city string, region string, country string")
     first = F.get("email", F.lit(0))

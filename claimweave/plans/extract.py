@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.constants import CONTACT, LOCATION, MATCH_WEIGHT, NAME, PROSE, SECTION_BODY
 from ..functions.normalize import literal_map
+from ..operators.canonical import kept
 from ..operators.taxonomy import match_tokens
 from ..sources.files import as_claims
 
@@ -61,6 +62,7 @@ def document_claims(documents: DataFrame, taxonomy: DataFrame, entity: Column |
         items("education", one(F.when(F.size(schools) > 0, F.to_json(schools, {"ignoreNullFields": "false"}))), SECTION_BODY, *body),
     ]
     flat = rows.select(who.alias("entity_id"), "source", F.posexplode(F.concat(*parts)).alias("ord", "c")).select("entity_id", "source", (F.col("ord") + 1_000_000_000).cast("bigint").alias("ord"), "c.*")
+    flat = kept(flat)  # read for skills, for their distinct tokens and for the rest; documents are parsed once
     skills = match_tokens(flat.where("field = 'skills'").withColumn("token", F.col("raw_value")), taxonomy)
     # Running text counts only what the taxonomy has, by name or alias.
     skills = skills.where("position <> 'prose_body' or match_type in ('exact', 'alias')")

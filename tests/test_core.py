@@ -231,3 +231,15 @@ def test_role_merge_many_entities_at_a_time(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == want and len(want) < len(rows)
     assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+
+
+def test_documents_are_parsed_once(spark):
+    """Profiles read kept claims: the parsing of documents does not stand in their plan, once for each reader."""
+    from claimweave.operators import canonical as C
+    from claimweave.plans.extract import document_claims
+
+    d = spark.createDataFrame([("a", "Jane Roe\njane@x.org\n\nSKILLS\nPython, Go\n\nEXPERIENCE\nAcme Inc\nEngineer\nJan 2020 - Mar 2021"), ("b", None)], "source string, text string")
+    p = C.canonical(N.normalize_claims(document_claims(d, from_dict(spark, TAXONOMY))))
+    assert "\\p{Lu}" not in p._jdf.queryExecution().analyzed().toString()
+    got = p.first()
+    assert p.count() == 1 and (got.entity_id, got.source_files, got.years_experience, len(got.skills)) == ("jane@x.org", ["a"], 1.2, 2)
