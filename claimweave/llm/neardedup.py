@@ -1,12 +1,13 @@
-"""Near copies among documents by MinHash over runs of five words.
-
-Words are what stands between white space, lower-cased.  A document's signature is
-the minimum of 64 hashes over its runs of five words, cut into sixteen bands of four:
-documents with Jaccard similarity 0.8 meet in a band in all but 2 of 10,000 cases.
-Documents that meet are compared by exact Jaccard similarity, and links become
-components by distributed union-find, as with lines.  SimHash cannot stand in for
-this: copies at 0.8 lie typically 3 to 11 of 64 bits apart, and a radius of that size
-bounds neither what is missed nor the pairs to compare.
+"""Near copies among documents by SimHash, and by MinHash over runs of five words for those further apart.
+
+Words are what stands between white space, lower-cased.  Every document gets the
+fingerprint of ``simhash`` (three-word shingles); fingerprints at most two bits apart
+are linked by its popcount cells and tiled comparison.  Copies at Jaccard similarity 0.8
+lie typically 3 to 11 of 64 bits apart, and a radius of that size bounds neither what is
+missed nor the pairs to compare.  So a document also has the minimum of 64 hashes over
+its runs of five words, cut into sixteen bands of four: documents with Jaccard similarity
+0.8 meet in a band in all but 2 of 10,000 cases, and those that meet are compared by exact
+Jaccard similarity.  Links of both kinds together become components by one distributed union-find.
 """
 
 from __future__ import annotations
@@ -56,23 +57,37 @@ def _signed(batches):
             size = np.zeros(j - i, np.int32)
             size[docs.text] = docs.n_bands
             ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(keys), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[docs.text].ravel()))], ["doc_id", "line", "bands"])
+            prints = pa.array(simhash.fingerprints(texts[i:j]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(keys), prints, pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[docs.text].ravel()))], ["doc_id", "line", "fp", "bands"])
         textbuf.give_back()
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def print_links(keyed: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
+    """Links a-b between keys ``line`` whose fingerprints ``fp`` are at most ``radius`` bits apart.
+
+    Keys of one fingerprint are linked with the smallest of them, which stands for it in all other links.
+    """
+    firsts, _ = written(keyed.groupBy("fp").agg(F.min("line").alias("first")), "prints")
+    equal = keyed.join(firsts, "fp").where("line <> first").select(F.col("line").alias("a"), F.col("first").alias("b"))
+    near = simhash.links(firsts.select("fp"), radius)
+    one, other = (firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first")) for c in ("a", "b"))
+    return equal.unionByName(near.join(one, "a").join(other, "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b")))
+
+
+def near_copies(docs: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
     """``doc_id, component_id`` for every row of ``docs`` (which needs doc_id and text).
 
-    Texts of equal words are copies, and so are all texts without words, null
+    Linked are fingerprints at most ``radius`` bits apart and texts of Jaccard similarity 0.8.  Texts of equal words are copies, and so are all texts without words, null
     included.  A null doc_id takes part, but cannot be a component's smallest id
     unless all are null.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table, _ = written(docs.select("doc_id", "text").mapInArrow(_signed, f"doc_id {kind}, line long, bands array<long>"), "documents", "zstd")
+    table, _ = written(docs.select("doc_id", "text").mapInArrow(_signed, f"doc_id {kind}, line long, fp long, bands array<long>"), "documents", "zstd")
     distinct = table.groupBy("line").agg(F.min("doc_id").alias("least"))
+    prints = print_links(table.select("line", "fp").distinct(), radius)
     signed = table.where("size(bands) > 0").dropDuplicates(["line"]).select("line", "bands")
     signed, _ = written(signed, "signed", "zstd")
-    roots = components(similar_links(signed, docs, Documents)).withColumnRenamed("node", "line")
+    roots = components(similar_links(signed, docs, Documents).unionByName(prints)).withColumnRenamed("node", "line")
     placed = distinct.join(roots, "line", "left").withColumn("root", F.coalesce("root", "line"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     return table.select("doc_id", "line").join(placed.join(ids, "root").select("line", "component_id"), "line").select("doc_id", "component_id")

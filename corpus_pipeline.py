@@ -34,7 +34,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id: five-word shingles at Jaccard similarity 0.8.
+    """One document of each group of near copies, that of the smallest doc_id: SimHash fingerprints at most 2 bits apart, or five-word shingles at Jaccard similarity 0.8.
 
     Texts without words, null included, are copies of one another.  Of rows that
     share a doc_id one stays; rows without doc_id stay, those of equal texts once.

@@ -139,6 +139,28 @@ def test_near_copies(spark, none):
     assert neardedup.near_copies(none).count() == 0
 
 
+def test_near_copies_by_fingerprint(spark):
+    """The stage links fingerprints within two bits as op9 does, though the texts' five-word similarity is lower, and chains over both kinds of links."""
+    import corpus_pipeline
+
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    base = " ".join(r.choice(words) for _ in range(400))
+    # Many edits that leave the repeated parts, which decide the majority of each bit.
+    texts = []
+    for k in (0, 60, 61):
+        own = [f"{k}x{i}" for i in range(k)]
+        texts.append(" ".join([*["the same three words again"] * 150, *own]))
+    texts += [base, base + " end", " ".join(r.choice(words) for _ in range(400))]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = simhash.fingerprints([t.encode() for t in texts])
+    runs = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    near = {(i, j) for i in range(6) for j in range(i + 1, 6) if int(prints[i] ^ prints[j]).bit_count() <= 2}
+    assert (0, 1) in near and len(runs[0] & runs[1]) < 0.8 * len(runs[0] | runs[1])
+    assert {x.doc_id: x.component_id for x in neardedup.near_copies(d).collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5}
+    assert sorted(x.doc_id for x in corpus_pipeline.one_of_near_copies(spark, d, "").collect()) == [0, 3, 5]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 200), (200, 300), (5, 5)]
     got = {x.node: x.root for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
