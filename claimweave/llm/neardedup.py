@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import simhash, textbuf
 from .components import components
-from .linededup import Lines, hash_family, lowered, similar_links
+from .linededup import Lines, blobs, hash_family, lowered, similar_links
 from .store import written
 
 WIDTH = 5
@@ -36,15 +36,19 @@ class Documents(Lines):
         inside = textbuf.NON_SPACE[w.bytes]
         keep = inside.copy()
         keep[w.ends] = True
-        self.flat = np.where(inside, w.bytes, 0x20)[keep].astype(np.uint8)
+        flat = np.where(inside, w.bytes, 0x20)[keep].astype(np.uint8).tobytes()
         at = np.concatenate(([0], np.cumsum(w.ends - w.starts + 1)))
         self.text = np.flatnonzero(w.counts)
-        self.begin, self.end = at[w.first[self.text]], at[w.first[self.text + 1]] - 1
+        self.norms = [flat[a:b] for a, b in zip(at[w.first[self.text]].tolist(), (at[w.first[self.text + 1]] - 1).tolist(), strict=True)]
+
+    @classmethod
+    def again(cls, norms: list[bytes]) -> Documents:
+        return cls(norms)
 
     def shingles(self) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all texts' runs of words, and where each text's begin."""
+        """Hashes of 40 bits of all texts' runs of words, and where each text's begin."""
         h, owner = self.words.shingles(WIDTH)
-        return h, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(self.words.counts))[self.text])))
+        return h >> np.uint64(24), np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(self.words.counts))[self.text])))
 
 
 def _signed(batches):
@@ -56,9 +60,9 @@ def _signed(batches):
             keys[docs.text], bands[docs.text] = docs.keys(), docs.bands()
             size = np.zeros(j - i, np.int32)
             size[docs.text] = docs.n_bands
-            ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+            ends = np.concatenate(([0], np.cumsum(size)))
             prints = pa.array(simhash.fingerprints(texts[i:j]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(keys), prints, pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[docs.text].ravel()))], ["doc_id", "line", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(keys), prints, blobs(bands[docs.text], ends)], ["doc_id", "line", "fp", "bands"])
         textbuf.give_back()
 
 
@@ -82,10 +86,10 @@ def near_copies(docs: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
     unless all are null.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    table, _ = written(docs.select("doc_id", "text").mapInArrow(_signed, f"doc_id {kind}, line long, fp long, bands array<long>"), "documents", "zstd")
+    table, _ = written(docs.select("doc_id", "text").mapInArrow(_signed, f"doc_id {kind}, line long, fp long, bands binary"), "documents", "zstd")
     distinct = table.groupBy("line").agg(F.min("doc_id").alias("least"))
     prints = print_links(table.select("line", "fp").distinct(), radius)
-    signed = table.where("size(bands) > 0").dropDuplicates(["line"]).select("line", "bands")
+    signed = table.where("length(bands) > 0").dropDuplicates(["line"]).select("line", "bands")
     signed, _ = written(signed, "signed", "zstd")
     roots = components(similar_links(signed, docs, Documents).unionByName(prints)).withColumnRenamed("node", "line")
     placed = distinct.join(roots, "line", "left").withColumn("root", F.coalesce("root", "line"))

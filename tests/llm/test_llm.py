@@ -4,6 +4,8 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -329,3 +331,50 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(1, " ".join(f"word3x{k}" for k in range(20)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert {x.doc_id for x in out.collect()} == set(range(12)) - {3} and out.select(F.max("n_tokens")).first()[0] > 50
+
+
+def test_line_shingles():
+    texts = ["Ab\t c\n\nabcdefg abcdefg\r\n  é\U0001f600\n", "", " \n", "größer als größer\nabc", "x" * 70000]
+    lines = linededup.Lines([x.encode() for x in texts])
+    want = [(i, k, " ".join(x.split())) for i, t in enumerate(texts) for k, x in enumerate(t.split("\n")) if x.split()]
+    assert [(i, k, x.decode()) for i, k, x in zip(lines.text.tolist(), lines.position.tolist(), lines.norms, strict=True)] == want
+    h, at = lines.shingles()
+    got = [set(h[a:b].tolist()) for a, b in zip(at, at[1:], strict=False)]
+    runs = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for _, _, x in want]
+    assert [[len(a & b) for a in got] for b in got] == [[len(a & b) for a in runs] for b in runs]
+    # A shingle of ASCII characters is its own code, so that no two of them are taken for one.
+    for codes, shingles in zip(got, runs, strict=True):
+        assert {x for x in codes if x < 1 << 39} == {int.from_bytes(x.encode(), "little") for x in shingles if x.isascii()}
+
+
+def test_met_bands():
+    rng = np.random.default_rng(5)
+    lines = rng.integers(-(1 << 63), 1 << 63, 3000)
+    bands = rng.integers(-(1 << 63), 1 << 63, (3000, 12))
+    bands[:, 3] = np.repeat(bands[:1000, 3], 3)
+    bands[:2500, 7] = 11
+    lines[2900:], bands[2900:] = lines[2800:2900], bands[2800:2900]
+    batch = pa.RecordBatch.from_arrays([pa.array(lines), linededup.blobs(bands, np.arange(0, 36001, 12))], ["line", "bands"])
+    stand = {}
+    for line, own in zip(lines.tolist(), bands.tolist(), strict=True):
+        for x in own:
+            stand.setdefault(x, set()).add(line)
+    for crowd, crowded in ((100, {11}), (3000, set()), (1, {x for x, own in stand.items() if len(own) > 1})):
+        rows = pa.Table.from_batches(linededup._dealt(iter([batch.slice(0, 1702), batch.slice(1702), batch.slice(0, 0)]), 12, 7, crowd))
+        assert len(rows) <= 28 and set(rows.column("bucket").to_pylist()) == set(range(7))
+        found = pa.concat_tables([linededup._met_in_bucket(rows.filter(pc.equal(rows.column("bucket"), k))) for k in range(7)]).to_pylist()
+        full = {x["band"] for x in found if x["line"] is None}
+        assert full <= crowded and (crowd == 1 or full == crowded)
+        got = sorted((x["band"], x["line"]) for x in found if x["line"] is not None)
+        assert got == sorted((x, line) for x, own in stand.items() if len(own) > 1 and x not in full for line in own)
+
+
+def test_crowded_bands(spark, monkeypatch):
+    base = TEXT + " and home again"
+    rows = [(k, f"{base} {'abcdefgh'[k % 8]}{k}\nline {k * k * 7919} of its own {k}") for k in range(60)] + [(99, "alone")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for crowd in (100, 2):
+        monkeypatch.setattr(linededup, "CROWD", crowd)
+        got.append({(x.doc_id, x.text) for x in linededup.deduplicated(d).collect()})
+    assert got[0] == got[1] and sum(base in t for _, t in got[0]) == 1
