@@ -30,6 +30,8 @@ SEED = 42
 RADIUS = 2
 #: Fingerprints of one cell that a task holds at most, and visitors to them.
 TILE, VISITORS = 8192, 65536
+#: Fingerprints compared at a time; all of them may be alike, and their pairs take some 25 MB then.
+ROWS, COLUMNS = 128, 2048
 #: The first bit and the number of bits of each block.
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 
@@ -68,17 +70,20 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         texts = textbuf.texts_of(batch.column(1))
         for i, j in textbuf.blocks(texts, textbuf.BLOCK // 2):
             yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(fingerprints(texts[i:j]).view(np.int64))], ["doc_id", "fp"])
+        textbuf.give_back()
 
 
 def _links_in_tile(home: np.ndarray, visit: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among ``home`` and between it and ``visit``."""
     all_ = np.concatenate((home, visit))
-    root, step = np.arange(len(all_)), 512
-    for i in range(0, len(home), step):
-        for j in range(i, len(all_), 8 * step):
-            near = np.bitwise_count(home[i : i + step, None] ^ all_[None, j : j + 8 * step]) <= radius
-            a, b = np.nonzero(near)
-            if len(a):
+    root = np.arange(len(all_))
+    for i in range(0, len(home), ROWS):
+        for j in range(i, len(all_), COLUMNS):
+            near = np.bitwise_count(home[i : i + ROWS, None] ^ all_[None, j : j + COLUMNS]) <= radius
+            if near.any():
+                # What is connected already, in a large group nearly all, needs no pairs.
+                near &= root[i : i + ROWS, None][: len(near)] != root[None, j : j + COLUMNS]
+                a, b = np.nonzero(near)
                 root = forest(len(all_), a + i, b + j, root)
     linked = np.flatnonzero(root != np.arange(len(all_)))
     return all_[linked], all_[root[linked]]
@@ -112,6 +117,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         home = t.column("home").to_numpy()
         fp = t.column("fp").to_numpy().astype(np.int64).view(np.uint64)
         a, b = _links_in_tile(np.sort(fp[home]), np.sort(fp[~home]), radius)
+        textbuf.give_back()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return sent.groupBy("target", "tile", "share").applyInArrow(compared, "a long, b long")

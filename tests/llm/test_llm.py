@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -378,3 +379,16 @@ def test_crowded_bands(spark, monkeypatch):
         monkeypatch.setattr(linededup, "CROWD", crowd)
         got.append({(x.doc_id, x.text) for x in linededup.deduplicated(d).collect()})
     assert got[0] == got[1] and sum(base in t for _, t in got[0]) == 1
+
+
+def test_simhash_memory():
+    """A tile of one large group of near copies takes little memory."""
+    rng = np.random.default_rng(3)
+    near = rng.integers(0, 1 << 63, 1, dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 8192, dtype=np.uint64))
+    far = rng.integers(0, 1 << 63, 2, dtype=np.uint64)
+    tracemalloc.start()
+    a, b = simhash._links_in_tile(np.append(near[:2000], far), near[2000:], 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) == 8191 and len(set(b.tolist())) == 1 and not set(far.tolist()) & {*a.tolist(), *b.tolist()}
+    assert most < 50e6
